@@ -17,13 +17,13 @@ def fnv1a64(text: Column) -> Column:
     """
     hexed = F.hex(F.encode(text, "UTF-8"))
     spots = F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    start = F.lit(FNV_OFFSET).cast("decimal(38,0)")
+    start = F.lit(str(FNV_OFFSET)).cast("decimal(38,0)")
 
     def step(h: Column, at: Column) -> Column:
         byte = F.conv(F.substr(hexed, at, F.lit(2)), 16, 10).cast("int")
         low = (h % 256).cast("int")
         mixed = (h - low + low.bitwiseXOR(byte)).cast("decimal(38,0)")
-        return ((mixed * F.lit(FNV_PRIME).cast("decimal(14,0)")).cast("decimal(38,0)") % F.lit(_WORD).cast("decimal(21,0)")).cast("decimal(38,0)")
+        return ((mixed * F.lit(str(FNV_PRIME)).cast("decimal(14,0)")).cast("decimal(38,0)") % F.lit(str(_WORD)).cast("decimal(21,0)")).cast("decimal(38,0)")
 
     return F.aggregate(spots, start, step).cast("decimal(20,0)")
 

@@ -43,6 +43,10 @@ def _block_search(k: int, decimals: int) -> Callable:
     return run
 
 
+def _numbers(count: int):
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, decimals: int = 6, row_count: int | None = None, query_count: int | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: exact best ``k`` by dot product, ties by smaller id, NaN never.
 
@@ -56,9 +60,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, decimals: int = 6, row_co
     m = query_count if query_count is not None else queries.count()
     row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     held = rows.where(F.col("vec").isNotNull() & V.all_finite(F.col("vec"))).select("id", "vec").withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)))
-    held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint"))
+    held = held.withColumn("qb", F.explode(_numbers(query_blocks)))
     asked = queries.where(F.col("vec").isNotNull() & V.all_finite(F.col("vec"))).select("query_id", "vec")
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("bigint"))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn("rb", F.explode(_numbers(row_blocks)))
     part = asked.groupBy("rb", "qb").cogroup(held.groupBy("rb", "qb")).applyInArrow(_block_search(k, decimals), "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -77,12 +81,15 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def hamming_top(rows: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """``(query_id, id, distance, rank)`` by Hamming distance of sign sketches, for a small set of queries."""
-    asked = queries.select("query_id", V.sign_bits(F.col("vec"), 0, 32).alias("q_low"), V.sign_bits(F.col("vec"), 32, 32).alias("q_high"))
-    pairs = sketches(rows).join(asked)
-    scored = pairs.select("query_id", "id", (V.hamming(F.col("low"), F.col("q_low")) + V.hamming(F.col("high"), F.col("q_high"))).alias("distance"))
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    """``(query_id, id, distance, rank)`` by Hamming distance of sign bits, in the same blocks as exact search.
+
+    With signs as plus and minus one, a dot product counts equal bits less
+    different ones.
+    """
+    signs = F.transform("vec", lambda x: F.when(x > 0, 1.0).otherwise(-1.0).cast("float"))
+    found = top_k(rows.select("id", signs.alias("vec")), queries.select("query_id", signs.alias("vec")), limit)
+    sizes = queries.select("query_id", F.size("vec").alias("bits"))
+    return found.join(sizes, "query_id").select("query_id", "id", ((F.col("bits") - F.col("score")) / 2).cast("bigint").alias("distance"), "rank")
 
 
 def cascade(rows: DataFrame, queries: DataFrame, k: int, sketch: int, shortlist: int) -> DataFrame:

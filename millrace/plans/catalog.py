@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import retrieval, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (texts, retrieval)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for module in MODULES for f in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
