@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import retrieval, texts
+from millrace.plans import retrieval, texts, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (texts, retrieval)
+MODULES = (texts, retrieval, upkeep)
 
 
 def queries() -> dict[str, Query]:
