@@ -82,10 +82,20 @@ def attention_scale(position: Column, original: int, beta: float = 0.1) -> Colum
     return 1 + beta * F.log(1 + F.floor(position / original))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, not once an element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def layer_norm(vector: Column, eps: float = 1e-12) -> Column:
-    mean = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x) / F.size(vector)
-    spread = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(vector)
-    return F.transform(vector, lambda x: (x - mean) / F.sqrt(spread + eps))
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+    def scaled(centred: Column) -> Column:
+        spread = F.sqrt(total(F.transform(centred, lambda x: x * x)) / F.size(centred) + eps)
+        return _let(spread, lambda d: F.transform(centred, lambda x: x / d))
+
+    return _let(_let(total(vector) / F.size(vector), lambda m: F.transform(vector, lambda x: x - m)), scaled)
 
 
 def multiply(left: DataFrame, right: DataFrame) -> DataFrame:

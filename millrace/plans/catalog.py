@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import retrieval, texts, upkeep
+from millrace.plans import numeric, retrieval, texts, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (texts, retrieval, upkeep)
+MODULES = (texts, retrieval, upkeep, numeric)
 
 
 def queries() -> dict[str, Query]:

@@ -314,6 +314,14 @@ ORACLE = {
       s AS (SELECT *, CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w <> role OR role = 'tool' OR calls OR coalesce(lag(calls) OVER w, false) THEN 1 ELSE 0 END AS starts FROM history WINDOW w AS (PARTITION BY conversation_id ORDER BY seq)),
       i AS (SELECT *, sum(starts) OVER (PARTITION BY conversation_id ORDER BY seq) AS island FROM s)
       SELECT conversation_id, min(seq) AS seq, min(role) AS role, count(*) AS merged, md5(string_agg(content, chr(10) || chr(10) ORDER BY seq)) AS content FROM i GROUP BY conversation_id, island""",
+    "context_budget": f"""WITH {THREAD_SQL}, mk AS (SELECT conversation_id, max(seq) AS mark FROM thread WHERE role = 'system' GROUP BY 1),
+      h AS (SELECT t.* FROM thread t LEFT JOIN mk USING (conversation_id) WHERE (mark IS NULL OR seq > mark) AND role <> 'system' AND (content <> '' OR calls)),
+      a AS (SELECT *, len(regexp_extract_all(content, '[^ \\n]+')) AS tokens, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY seq) AS turn FROM h),
+      b AS (SELECT *, max(turn) OVER (PARTITION BY conversation_id) AS last_turn, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id, turn ORDER BY seq) AS round FROM a),
+      u AS (SELECT conversation_id, turn, CASE WHEN turn = last_turn AND turn > 0 THEN round ELSE 0 END AS part, (turn = last_turn AND turn > 0 AND round = 0) OR last_turn = 0 AS fixed, sum(tokens) AS tokens, count(*) AS n FROM b GROUP BY ALL),
+      s AS (SELECT *, coalesce(sum(CASE WHEN fixed THEN tokens END) OVER (PARTITION BY conversation_id), 0) + coalesce(sum(CASE WHEN NOT fixed THEN tokens END) OVER (PARTITION BY conversation_id ORDER BY turn DESC, part DESC), 0) AS total FROM u)
+      SELECT conversation_id, sum(CASE WHEN fixed OR total <= 200 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fixed OR total <= 200 THEN 0 ELSE n END)::BIGINT AS dropped,
+        coalesce(sum(CASE WHEN fixed OR total <= 200 THEN tokens END), 0)::BIGINT AS tokens, coalesce(sum(CASE WHEN fixed OR total <= 200 THEN tokens END), 0) <= 200 AS fits FROM s GROUP BY 1""",
     "conversation_titles": f"""WITH {THREAD_SQL} SELECT conversation_id, trim(left(trim(min_by(content, seq), ' '), 48), ' ') AS title FROM thread WHERE role = 'user' GROUP BY 1""",
     "tool_rounds": f"""WITH {THREAD_SQL}, l AS (SELECT *, coalesce(max(CASE WHEN role = 'user' THEN seq END) OVER (PARTITION BY conversation_id), -1) AS u FROM thread)
       SELECT conversation_id, sum(CASE WHEN role = 'assistant' AND calls AND seq > u THEN 1 ELSE 0 END)::BIGINT AS rounds FROM l GROUP BY 1""",
