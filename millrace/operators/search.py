@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.functions import text as T
-from millrace.functions.hashing import fnv1a64
+from millrace.functions.hashing import fnv1a64_halves
+from millrace.session import cut_lineage
 
 K1, B, BOOST = 1.2, 0.75, 1.5
 RRF_K, OVERFETCH = 60, 4
@@ -24,26 +25,28 @@ def postings(chunks: DataFrame) -> DataFrame:
     return spread.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean token count, 1 at least."""
-    count = F.size(T.tokens(F.coalesce("path", F.lit("")))) + F.size(T.tokens(F.coalesce("content", F.lit(""))))
-    return chunks.agg(F.count("*").alias("n"), F.greatest(F.avg(count), F.lit(1.0)).alias("mean_len"))
+def lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row: number of chunks and their mean token count, 1 at least; chunks without tokens count too."""
+    size = chunks.agg(F.count("*").alias("n"))
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return size.crossJoin(total).select("n", F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_len"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, limit: int, posted: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the best chunks by BM25, those whose symbol is a query term raised by half.
 
     Scores are rounded to 6 decimals before they are ranked; ties go by id.
     """
+    posted = cut_lineage(postings(chunks)) if posted is None else posted
     terms = query_terms(queries)
-    held = postings(chunks).join(terms.select("term").distinct(), "term", "left_semi")
+    held = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(lengths(chunks)).select("term", idf.alias("idf"), "mean_len")
+    weights = df.crossJoin(lengths(chunks, posted)).select("term", idf.alias("idf"), "mean_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     scored = held.join(weights, "term").join(terms, "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
     raised = symbol_hits(chunks, terms).withColumn("raised", F.lit(True))
@@ -63,22 +66,36 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """``(key, axis, weight)``: token counts hashed to ``dim`` axes, each text at unit length.
+def axes_of(counts: DataFrame, key: str, dim: int) -> DataFrame:
+    """``(key, axis, weight)`` from term counts ``(key, term, tf)``: hashed to ``dim`` axes, each key at unit length.
 
     Only distinct terms are hashed.
     """
-    counts = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    axes = counts.select("term").distinct().select("term", (fnv1a64(F.col("term")) % dim).cast("int").alias("axis"))
+    axes = counts.select("term").distinct().select("term", hash_mod(F.col("term"), dim).cast("int").alias("axis"))
     spread = counts.join(axes, "term").groupBy(key, "axis").agg(F.sum("tf").cast("double").alias("tf"))
     size = spread.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("size"))
     return spread.join(size, key).select(key, "axis", (F.col("tf") / F.col("size")).alias("weight"))
 
 
-def vector_rank(chunks: DataFrame, queries: DataFrame, limit: int, dim: int = DIM) -> DataFrame:
+_HALVES = 2**32
+
+
+def hash_mod(term, dim: int):
+    """The 64-bit hash of a term modulo ``dim``."""
+    h = fnv1a64_halves(term)
+    return ((h["high"] % dim) * (_HALVES % dim) + h["low"]) % dim
+
+
+def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """``(key, axis, weight)``: the hashed bag-of-tokens embedding of each text."""
+    counts = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return axes_of(counts, key, dim)
+
+
+def vector_rank(chunks: DataFrame, queries: DataFrame, limit: int, dim: int = DIM, posted: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score, rank)`` by cosine of hashed embeddings, joined by shared axes."""
-    text = F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("content", F.lit("")))
-    docs = hashed_embedding(chunks.select("id", text.alias("body")), "id", "body", dim)
+    posted = cut_lineage(postings(chunks)) if posted is None else posted
+    docs = axes_of(posted.select("id", "term", "tf"), "id", dim)
     asked = hashed_embedding(queries, "query_id", "text", dim).withColumnRenamed("weight", "asked")
     scored = docs.join(asked, "axis").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
     return top(scored, limit)
@@ -101,5 +118,6 @@ def fuse(lists: dict[str, DataFrame], chunks: DataFrame, k: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best ``k`` chunks a query by fused lexical and vector ranks, each retriever fetching four times as many."""
-    lists = {"lexical": bm25(chunks, queries, k * OVERFETCH), "vector": vector_rank(chunks, queries, k * OVERFETCH)}
+    posted = cut_lineage(postings(chunks))
+    lists = {"lexical": bm25(chunks, queries, k * OVERFETCH, posted), "vector": vector_rank(chunks, queries, k * OVERFETCH, posted=posted)}
     return fuse(lists, chunks, k)

@@ -34,7 +34,7 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     rows = raw.withColumn("path", F.substring_index("path", base, -1))
-    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith(".") & ~p.startswith(".env"))
+    hidden = F.exists(F.split("path", "/"), lambda p: p.startswith("."))
     rows = rows.where(~T.in_pruned_dir(F.col("path")) & ~hidden)
     reason = skip_reason(F.col("path"), F.col("length"), F.col("content"))
     return rows.select(

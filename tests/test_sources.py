@@ -1,5 +1,7 @@
 """Folder reading, index files, streams and the session helpers."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -12,10 +14,10 @@ def test_read_folder(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
     (tmp_path / ".git").mkdir()
-    for name, raw in {"src/a.py": b"x = 1\n", ".env": b"A=1", "bin.dat": b"ab\0c", "bad.txt": b"\xff\xfe\xfd", "node_modules/x.js": b"x", ".git/config": b"x", "big.txt": b"x" * (512 * 1024 + 1)}.items():
+    for name, raw in {"src/a.py": b"x = 1\n", "id_rsa.pub": b"A=1", "bin.dat": b"ab\0c", "bad.txt": b"\xff\xfe\xfd", "node_modules/x.js": b"x", ".git/config": b"x", "big.txt": b"x" * (512 * 1024 + 1)}.items():
         (tmp_path / name).write_bytes(raw)
     rows = {r.path: (r.skip_reason, r.text) for r in S.read_folder(spark, str(tmp_path)).collect()}
-    assert rows == {"src/a.py": (None, "x = 1\n"), ".env": ("secret", None), "bin.dat": ("binary", None), "bad.txt": ("invalid_utf8", None), "big.txt": ("too_large", None)}
+    assert rows == {"src/a.py": (None, "x = 1\n"), "id_rsa.pub": ("secret", None), "bin.dat": ("binary", None), "bad.txt": ("invalid_utf8", None), "big.txt": ("too_large", None)}
 
 
 def test_index_file(spark, tmp_path):
@@ -60,7 +62,10 @@ def test_stream_state(spark, tmp_path):
     deltas = spark.readStream.schema("stream_id string, at_ms long, piece string").parquet(str(tmp_path / "d"))
     query = ingest.stream_deltas(deltas).writeStream.format("memory").queryName("flushes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
     try:
-        query.processAllAvailable()
+        # A query with processing-time timeouts is never idle, so its result is awaited, not its rest.
+        until = time.monotonic() + 60
+        while not spark.table("flushes").count() and time.monotonic() < until:
+            time.sleep(0.2)
         assert [(r.text, r.n) for r in spark.table("flushes").collect()] == [("abc", 3)]
     finally:
         query.stop()
@@ -68,9 +73,9 @@ def test_stream_state(spark, tmp_path):
     frame = spark.createDataFrame(events, "ts string, kind string, value double").selectExpr("cast(ts as timestamp) ts", "kind", "value")
     frame.coalesce(1).write.parquet(str(tmp_path / "e"))
     counted = ingest.windowed_counts(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "e")), "ts", "kind")
-    query = counted.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp3")).start()
+    query = counted.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(90)
         assert {(r.kind, r.n, r.total) for r in spark.table("windows").collect()} == {("x", 2, 3.0), ("y", 1, 4.0)}
     finally:
         query.stop()
