@@ -41,7 +41,9 @@ def tokens(text: Column) -> Column:
 
     def spread(word: Column) -> Column:
         parts = F.filter(identifier_parts(word), lambda p: (F.length(p) >= 2) & (F.length(p) < F.length(word)))
-        return F.concat(F.array(F.lower(word)), F.transform(parts, F.lower))
+        small = F.lower(word)
+        # Most words have no capital and no underscore, and so no parts.
+        return F.when((small == word) & ~word.contains("_"), F.array(word)).otherwise(F.concat(F.array(small), F.transform(parts, F.lower)))
 
     return F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2), spread))
 
