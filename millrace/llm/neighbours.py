@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, file by file, by vantage-point trees.
 
 Plan
-1. Usable vectors are normalised by expressions; equal ones collapse to one
+1. Usable vectors are keyed by their direction, batch by batch; equal ones collapse to one
    representative with the smallest ``k + 1`` ids, which is all that any list
    of ``k`` neighbours can use, so a group of copies that holds a third of all
    rows costs one search.
@@ -29,11 +29,12 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.session import cut_lineage
 
@@ -242,17 +243,33 @@ def _route(relax: float) -> Callable:
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Usable rows of ``(file, chunk_id, vec, dim)`` with a 128-bit key of their direction."""
+    import xxhash
+
+    names = ["file", "chunk_id", "vec", "k1", "k2"]
+    for batch in batches:
+        vectors, dims = batch.column("vec"), batch.column("dim").to_numpy()
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims):
+            rows = np.flatnonzero((dims == dim) & (sizes == dim))
+            if not dim or not len(rows):
+                continue
+            raw = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+            good = np.isfinite(raw).all(axis=1) & (raw != 0).any(axis=1)
+            rows, raw = rows[good], raw[good]
+            unit = np.round(raw / np.sqrt((raw * raw).sum(axis=1))[:, None], 10) + 0.0
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in unit), dtype="<i8").reshape(-1, 2)
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([kept.column("file"), kept.column("chunk_id"), kept.column("vec"), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names)
+
+
 def usable_vectors(vectors: DataFrame, meta: DataFrame) -> DataFrame:
     """``(file, chunk_id, vec, k1, k2)``: usable rows, with a 128-bit key of the direction."""
     dims = meta.where(F.col("vector_file").isNotNull() & F.col("dim").isNotNull()).groupBy("vector_file").agg(F.max("dim").alias("dim"))
     rows = vectors.select("vector_file", "chunk_id", F.col("embedding").alias("vec")).where(F.col("vec").isNotNull() & F.col("chunk_id").isNotNull())
-    finite = F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = rows.join(dims, "vector_file").where((F.size("vec") == F.col("dim")) & finite & F.exists("vec", lambda x: x != 0))
-    norm: Column = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = rows.withColumn("norm", norm).withColumn("unit", F.transform("vec", lambda x: F.round(x.cast("double") / F.col("norm"), 10) + F.lit(0.0)))
-    return rows.select(
-        F.col("vector_file").alias("file"), "chunk_id", "vec", F.xxhash64("unit").alias("k1"), F.xxhash64(F.lit(7), "unit").alias("k2")
-    )
+    rows = rows.join(dims, "vector_file").select(F.col("vector_file").alias("file"), "chunk_id", "vec", "dim")
+    return rows.mapInArrow(_keyed, "file string, chunk_id bigint, vec array<float>, k1 bigint, k2 bigint")
 
 
 def _representatives(usable: DataFrame, k: int) -> DataFrame:
