@@ -31,6 +31,7 @@ from millrace.session import cut_lineage
 CAPACITY = 4096
 OPEN = 64
 AXES, BITS, BUCKETS = 3, 10, 1024
+SLICE = 256
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -71,27 +72,33 @@ def _projection() -> np.ndarray:
     return signs.astype(np.float64)
 
 
-def document_key(ids: np.ndarray) -> int:
-    """Hilbert key of a document's hashed token counts (damped, of unit length)."""
-    if not len(ids):
-        return 0
-    counts = np.log1p(np.bincount(ids * 2654435761 % 4294967296 % BUCKETS, minlength=BUCKETS))
-    spot = (counts / np.sqrt(counts @ counts)) @ _projection()
-    grid = np.clip((spot + 2.0) / 4.0 * (1 << BITS), 0, (1 << BITS) - 1)
-    return int(hilbert_key(grid[None, :])[0])
+def document_keys(documents: list[np.ndarray]) -> np.ndarray:
+    """Hilbert keys of documents' hashed token counts (damped, of unit length); 0 for one without tokens."""
+    keys = np.zeros(len(documents), dtype=np.int64)
+    for at in range(0, len(documents), SLICE):
+        part = documents[at : at + SLICE]
+        sizes = [len(x) for x in part]
+        owner = np.repeat(np.arange(len(part)), sizes)
+        axis = np.concatenate(part) * 2654435761 % 4294967296 % BUCKETS
+        counts = np.log1p(np.bincount(owner * BUCKETS + axis, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS))
+        length = np.sqrt((counts * counts).sum(axis=1))
+        spots = counts @ _projection() / np.maximum(length, 1e-300)[:, None]
+        grid = np.clip((spots + 2.0) / 4.0 * (1 << BITS), 0, (1 << BITS) - 1)
+        keys[at : at + SLICE] = np.where(length > 0, hilbert_key(grid), 0)
+    return keys
 
 
-def _measure(id_type: pa.DataType, vocabulary: str, folder: str | None):
+def _measure(vocabulary: str, folder: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, folder).encode_ordinary
         for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.asarray(encode(text), dtype=np.int64) if text else np.empty(0, np.int64)
-                sizes.append(len(ids))
-                keys.append(document_key(ids))
+            texts, sizes, keys = batch.column(1), [], []
+            for at in range(0, len(texts), SLICE):
+                ids = [np.asarray(encode(t), dtype=np.int64) if t else np.empty(0, np.int64) for t in texts.slice(at, SLICE).to_pylist()]
+                sizes += [len(x) for x in ids]
+                keys.append(document_keys(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["id", "size", "curve"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["id", "size", "curve"]
             )
 
     return run
@@ -136,11 +143,9 @@ def measure_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folder: str | None = None
 ) -> DataFrame:
     """``(id, size, curve)``: token count and Hilbert key of each document."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = documents.schema[id_col].dataType
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _measure(to_arrow_type(kind), vocabulary, folder), f"id {kind.simpleString()}, size bigint, curve bigint"
+        _measure(vocabulary, folder), f"id {kind.simpleString()}, size bigint, curve bigint"
     )
 
 
