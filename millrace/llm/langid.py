@@ -32,7 +32,7 @@ FIT_ROWS = 120
 FIT_CHARS = 4000
 FIRM = 0.35
 ROUNDS = 60
-STEP = 400
+STEP = 1000
 
 
 class Machines:
@@ -162,18 +162,24 @@ def fit_machines(documents: DataFrame, text_col: str = "text", label_col: str =
     return Machines().fit([sentences[i] for i in good], [labels[i] for i in good])
 
 
-def segments_of(text: str, model: Machines) -> list[tuple[int, int, str, float]]:
+def judge_texts(texts: list[str | None], model: Machines) -> list[tuple[list[str], list[float]]]:
+    """Languages and margins of the sentences of each text; equal sentences of a batch are judged once."""
+    sentences = [prose_sentences(t) if t else [] for t in texts]
+    place: dict[str, int] = {}
+    spots = [[place.setdefault(s, len(place)) for s in part] for part in sentences]
+    every, names, margins = list(place), [], []
+    for at in range(0, len(every), STEP):
+        said, margin = model.judge(every[at : at + STEP])
+        names += said
+        margins += margin.tolist()
+    return [([names[i] for i in part], [margins[i] for i in part]) for part in spots]
+
+
+def segments_of(names: list[str], margins: list[float]) -> list[tuple[int, int, str, float]]:
     """``(first sentence, last sentence, language, mean margin)`` of each run of sentences in one language.
 
     A sentence that is not firm takes the language of its neighbours.
     """
-    sentences = prose_sentences(text)
-    names: list[str] = []
-    margins: list[float] = []
-    for at in range(0, len(sentences), STEP):
-        said, margin = model.judge(sentences[at : at + STEP])
-        names += said
-        margins += margin.tolist()
     firm: dict[str, int] = {}
     for name, margin in zip(names, margins):
         if margin >= FIRM:
@@ -207,8 +213,9 @@ def _segmenter(id_type: pa.DataType, model, whole: bool):
         machines = model.value
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for key, label, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = segments_of(text, machines) if text else []
+            judged = judge_texts(batch.column(2).to_pylist(), machines)
+            for key, label, (names, margins) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), judged):
+                found = segments_of(names, margins)
                 if whole:
                     by: dict[str, list] = {}
                     for a, b, name, margin in found:
