@@ -177,7 +177,7 @@ def test_fingerprints_cover_changed_copies():
     assert len(whole & part) > 0.8 * len(whole) and sourcefiles.fingerprints(["a", "b"]) == []
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_turns", "p5_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_turns", "p2_found", "p5_found"])
 def test_sql(spark, name):
     import os
 
