@@ -21,7 +21,8 @@ DIM = 256
 def postings(chunks: DataFrame) -> DataFrame:
     """``(id, term, tf, len)`` with the path's tokens and the content's; ``len`` counts every token."""
     rows = chunks.select("id", F.concat(T.tokens(F.coalesce("path", F.lit(""))), T.tokens(F.coalesce("content", F.lit("")))).alias("tokens"))
-    spread = rows.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    # An outer explode: for a plain one the optimizer adds a size filter below, which makes the tokens a second time.
+    spread = rows.select("id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     return spread.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
@@ -88,7 +89,7 @@ def hash_mod(term, dim: int):
 
 def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """``(key, axis, weight)``: the hashed bag-of-tokens embedding of each text."""
-    counts = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = rows.select(key, F.explode_outer(T.tokens(F.col(text))).alias("term")).where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return axes_of(counts, key, dim)
 
 
