@@ -18,11 +18,17 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+NAMES = ["query_id", "id", "score"]
+
+
+def _nothing() -> pa.Table:
+    return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], NAMES)
+
+
 def _block_search(k: int, decimals: int) -> Callable:
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
         if not len(asked) or not len(rows):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+            return _nothing()
         ids = rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, points = ids[order], _unit(rows["vec"])[order]
@@ -38,7 +44,50 @@ def _block_search(k: int, decimals: int) -> Callable:
             out_q.append(np.repeat(queries[at : at + 256], real.sum(axis=1)))
             out_i.append(ids[best][real])
             out_s.append(found[real])
-        return pa.table([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names)
+        return pa.table([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], NAMES)
+
+    return run
+
+
+def _block_staged(k: int, decimals: int) -> Callable:
+    """As ``_block_search``, by stages that drop a row only where a bound proves that it is not among the best.
+
+    Components of unequal signs add nothing to a dot product, so a row's is at
+    most its length times that of the query's components of equal sign. The
+    8-bit product is off by no more than the lengths of what rounding took.
+    """
+    slack = 2 * 10.0**-decimals
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(asked) or not len(rows):
+            return _nothing()
+        ids = rows["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, points = ids[order], _unit(rows["vec"])[order]
+        queries, who = asked["query_id"].to_numpy(), _unit(asked["vec"])
+        bits, lengths = (points > 0).astype(np.float64), np.linalg.norm(points, axis=1)
+        codes = np.round(points * 127) / 127
+        lost, coded = np.linalg.norm(points - codes, axis=1), np.linalg.norm(codes, axis=1)
+        out_q, out_i, out_s = [], [], []
+        for name, q in zip(queries, who):
+            square = q * q
+            most = np.sqrt(np.maximum(bits @ np.where(q > 0, square, -square) + square[q <= 0].sum(), 0)) * lengths
+            left, floor = np.arange(len(ids)), -np.inf
+            if len(ids) > k:
+                floor = (points[np.argpartition(-most, k - 1)[:k]] @ q).min() - slack
+                left = left[most >= floor]
+                code = np.round(q * 127) / 127
+                rough = codes[left] @ code
+                error = lost[left] * np.linalg.norm(q) + coded[left] * np.linalg.norm(q - code)
+                if len(left) > k:
+                    floor = max(floor, np.partition(rough - error, len(left) - k)[len(left) - k] - slack)
+                left = left[rough + error >= floor]
+            scores = np.round(points[left] @ q, decimals)
+            best = np.argsort(-scores, kind="stable")[:k]
+            out_q.append(np.repeat(name, len(best)))
+            out_i.append(ids[left][best])
+            out_s.append(scores[best])
+        return pa.table([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], NAMES)
 
     return run
 
@@ -47,7 +96,7 @@ def _numbers(count: int):
     return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, decimals: int = 6, row_count: int | None = None, query_count: int | None = None) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, decimals: int = 6, row_count: int | None = None, query_count: int | None = None, search: Callable = _block_search) -> DataFrame:
     """``(query_id, id, score, rank)``: exact best ``k`` by dot product, ties by smaller id, NaN never.
 
     Queries ``(query_id, vec)`` and rows meet in blocks of bounded size (a
@@ -63,7 +112,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, decimals: int = 6, row_co
     held = held.withColumn("qb", F.explode(_numbers(query_blocks)))
     asked = queries.where(F.col("vec").isNotNull() & V.all_finite(F.col("vec"))).select("query_id", "vec")
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn("rb", F.explode(_numbers(row_blocks)))
-    part = asked.groupBy("rb", "qb").cogroup(held.groupBy("rb", "qb")).applyInArrow(_block_search(k, decimals), "query_id bigint, id bigint, score double")
+    part = asked.groupBy("rb", "qb").cogroup(held.groupBy("rb", "qb")).applyInArrow(search(k, decimals), "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -104,6 +153,11 @@ def cascade(rows: DataFrame, queries: DataFrame, k: int, sketch: int, shortlist:
     return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def cascade_bounded(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: the stages of ``cascade`` with proven bounds in place of fixed counts, so the result is that of ``top_k``."""
+    return top_k(rows, queries, k, search=_block_staged)
+
+
 def recall(found: DataFrame, exact: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """``(query_id, recall)``: share of exact neighbours that were found; as good as the last one counts."""
     last = exact.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("wanted"))

@@ -70,6 +70,16 @@ def cascade_recall(spark: SparkSession, root: str) -> DataFrame:
     return nearest.recall(nearest.cascade(rows, asked, K, 200, 50), nearest.top_k(rows, asked, K)).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+def cascade_search_bounded(spark: SparkSession, root: str) -> DataFrame:
+    """The staged search whole: no stage drops one of the best ten."""
+    return nearest.cascade_bounded(_rows(spark, root), _asked(spark, root), K).select("query_id", "id", "score", "rank")
+
+
+def cascade_recall_bounded(spark: SparkSession, root: str) -> DataFrame:
+    rows, asked = _rows(spark, root), _asked(spark, root)
+    return nearest.recall(nearest.cascade_bounded(rows, asked, K), nearest.top_k(rows, asked, K)).select("query_id", F.round("recall", 6).alias("recall"))
+
+
 def neighbour_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """Share of queries whose nearest other vector has their label."""
     asked = _asked(spark, root)
@@ -160,6 +170,8 @@ ORACLE = {
     "cascade_search": f"WITH {_PAIR}, {_CASCADE} SELECT query_id, id, score, rank FROM staged",
     "cascade_recall": f"""WITH {_EXACT}, {_CASCADE}, last AS (SELECT query_id, min(score) AS last, count(*) AS wanted FROM exact GROUP BY query_id)
       SELECT query_id, round(least(count(s.id) / wanted, 1.0), 6) AS recall FROM last LEFT JOIN staged s ON s.query_id = last.query_id AND s.score >= last - 1e-5 GROUP BY last.query_id, wanted""".replace("SELECT query_id, round", "SELECT last.query_id AS query_id, round"),
+    "cascade_search_bounded": f"WITH {_EXACT} SELECT query_id, id, score, rank FROM exact",
+    "cascade_recall_bounded": f"WITH {_PAIR} SELECT query_id, 1.0::DOUBLE AS recall FROM asked",
     "neighbour_accuracy": f"""WITH {_EXACT}, first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM exact WHERE rank <= 2 AND id <> query_id)
       SELECT round(avg(CASE WHEN label = asked_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM first WHERE k = 1""",
     "margin_gate": f"""WITH {_EXACT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM exact WHERE rank <= 3 AND id <> query_id),
@@ -175,5 +187,6 @@ ORACLE = {
 
 QUERIES = (
     bm25_search, vector_search, hybrid_search, document_frequencies, hashed_embeddings, context_pack, knn_topk, knn_batch, hamming_topk, cascade_search, cascade_recall,
+    cascade_search_bounded, cascade_recall_bounded,
     neighbour_accuracy, margin_gate, label_means, vector_norms, index_meta_check,
 )

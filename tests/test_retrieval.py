@@ -61,6 +61,20 @@ def test_exact_search_matches_brute_force(spark, monkeypatch):
         assert [i for _, i in sorted(got[q])] == sorted(range(150), key=lambda i: (-scores[q][i], i))[:5]
 
 
+def test_bounded_cascade_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROW_BLOCK", 400)
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(1500, 64)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[9] = points[4]
+    rows, asked = vectors(spark, points, "id"), vectors(spark, points[:20], "query_id")
+    exact = nearest.top_k(rows, asked, 10)
+    wanted = sorted(map(tuple, exact.select("query_id", "id", "score", "rank").collect()))
+    assert sorted(map(tuple, nearest.cascade_bounded(rows, asked, 10).select("query_id", "id", "score", "rank").collect())) == wanted
+    assert min(r.recall for r in nearest.recall(nearest.cascade(rows, asked, 10, 200, 50), exact).collect()) < 0.9
+    assert nearest.cascade_bounded(rows.limit(3), asked, 10).where("query_id = 0").count() == 3
+
+
 def test_search_edges(spark):
     rows = spark.createDataFrame([(5, [0.6, 0.8]), (3, [0.6, 0.8]), (9, [0.6, 0.8]), (1, [-0.6, -0.8]), (2, [float("nan"), 1.0]), (4, None)], "id long, vec array<float>")
     asked = spark.createDataFrame([(0, [0.6, 0.8]), (1, [float("inf"), 0.0])], "query_id long, vec array<float>")
