@@ -33,6 +33,12 @@ def substring_search(spark: SparkSession, root: str) -> DataFrame:
     return textual.search_lines(docs, "restart").where(F.octet_length("hit") < 390).select("doc_id", "path", "line_no", "hit")
 
 
+def substring_hits(spark: SparkSession, root: str) -> DataFrame:
+    """All hits, long ones cut to 400 bytes."""
+    docs = read_table(spark, root, "documents").select("doc_id", "path", "text")
+    return textual.search_lines(docs, "restart").select("doc_id", "path", "line_no", "hit")
+
+
 def substring_search_ci(spark: SparkSession, root: str) -> DataFrame:
     docs = read_table(spark, root, "documents").select("doc_id", "text")
     return textual.search_lines(docs, "MANIFEST", True).groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.min("line_no").alias("first_line"))
@@ -200,6 +206,6 @@ ORACLE = {
 }
 
 QUERIES = (
-    identifier_tokens, line_split, substring_search, substring_search_ci, substring_top_hits, read_range, read_range_capped, list_folders, secret_files, excluded_files,
+    identifier_tokens, line_split, substring_search, substring_hits, substring_search_ci, substring_top_hits, read_range, read_range_capped, list_folders, secret_files, excluded_files,
     confined_paths, file_sha256, file_languages, longest_fences, chunk_windows, code_chunks, chunk_digests, embed_inputs, markdown_headings, slugs, rle_codes, key_values, diff_classes, set_hashes,
 )

@@ -82,6 +82,17 @@ def test_search_and_ranges(spark):
     assert textual.read_ranges(long, "id", 9, 0, 5).first().content == ""
 
 
+def test_hits_on_long_lines(spark, tmp_path):
+    from millrace.plans import texts
+
+    pads = ("", "x" * 380, "x" * 383, "x" * 392, "x" * 393, "x" * 394, "é" * 196, "日" * 131, "x" + "日" * 131, "𝄞" * 99 + "x", "x" * 5000)
+    rows = [(1, "a", "\n".join(f"restart{x}\nother{x}\n{x}restart" for x in pads)), (2, None, "z" * 450 + "restart"), (3, "c", None), (4, "d", "nothing")]
+    spark.createDataFrame(rows, "doc_id long, path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [(d, p, n, line.encode()[:400].decode("utf-8", "ignore")) for d, p, t in rows if t for n, line in enumerate(t.split("\n"), 1) if "restart" in line]
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in texts.substring_hits(spark, str(tmp_path)).collect())
+    assert any(len(w[3].encode()) == 400 for w in wanted) and len(wanted) == 2 * len(pads) + 1
+
+
 def test_list_folder(spark):
     files = spark.createDataFrame([("r", "a/x.py"), ("r", "a/y.py"), ("r", "a/b/z.py"), ("r", "a/.env"), ("r", None)], "repo_id string, path string")
     rows = {(r.folder, r.name, r.is_folder, r.truncated) for r in textual.list_folder(files, 2).collect()}
