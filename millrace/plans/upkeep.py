@@ -133,6 +133,12 @@ def conversations_ordered(spark: SparkSession, root: str) -> DataFrame:
     return rows.orderBy(F.col("updated_at").desc(), F.col("id").desc()).select("id", "updated_at").limit(100)
 
 
+def conversations_listed(spark: SparkSession, root: str) -> DataFrame:
+    """All conversations, newest first."""
+    rows = read_table(spark, root, "conversations").groupBy("id").agg(F.max("updated_at").alias("updated_at"))
+    return rows.orderBy(F.col("updated_at").desc(), F.col("id").desc())
+
+
 def last_messages(spark: SparkSession, root: str) -> DataFrame:
     return thread(spark, root).groupBy("conversation_id").agg(F.max_by("id", "seq").alias("id"), F.max("seq").alias("seq"))
 
@@ -293,6 +299,7 @@ ORACLE = {
     "upsert_customers": """SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 7 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS c_acctbal FROM customer
       UNION ALL SELECT max(c_custkey) + 1, 1, 0.0 FROM customer""",
     "conversations_ordered": "SELECT DISTINCT id, updated_at FROM conversations ORDER BY updated_at DESC, id DESC LIMIT 100",
+    "conversations_listed": "SELECT id, max(updated_at) AS updated_at FROM conversations GROUP BY id ORDER BY updated_at DESC, id DESC",
     "last_messages": f"WITH {THREAD_SQL} SELECT conversation_id, max_by(id, seq) AS id, max(seq) AS seq FROM thread GROUP BY 1",
     "next_sequence": f"WITH {THREAD_SQL} SELECT conversation_id, max(seq) + 1 AS next_seq FROM thread GROUP BY 1",
     "truncate_after": f"""WITH {THREAD_SQL}, {_ATTEMPTS}, kept AS (SELECT * FROM thread WHERE seq <= 4),
@@ -334,6 +341,6 @@ ORACLE = {
 
 QUERIES = (
     changed_files, unchanged_repos, latest_generations, prune_generations, next_generations, lru_evict, cache_hits, report_totals, skip_histogram, latency_percentiles, citation_verify,
-    citation_status, cited_chunks, orphan_check, integrity_check, latest_messages, upsert_customers, conversations_ordered, last_messages, next_sequence, truncate_after, regenerate_branch,
+    citation_status, cited_chunks, orphan_check, integrity_check, latest_messages, upsert_customers, conversations_ordered, conversations_listed, last_messages, next_sequence, truncate_after, regenerate_branch,
     cascade_delete, multiget_ordered, append_messages, context_slice, history_filter, merge_roles, context_budget, conversation_titles, tool_rounds, repairs_used, finish_reasons, generation_rates,
 )

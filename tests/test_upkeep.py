@@ -73,6 +73,15 @@ def test_truncate_regenerate_delete(spark):
     assert [t.count() for t in store.delete_conversations(heads, rows, attempts, heads.where("id = 'c'"))] == [1, 0, 0]
 
 
+def test_all_conversations_are_listed(spark, tmp_path):
+    from millrace.plans import upkeep
+
+    rows = [(f"c{i:03}", i * 7 % 50) for i in range(230)]
+    spark.createDataFrame([*rows, rows[3]], "id string, updated_at long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.id, r.updated_at) for r in upkeep.conversations_listed(spark, str(tmp_path)).collect()]
+    assert got == sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+
+
 def test_append(spark):
     rows = messages(spark, ["user"])
     new = messages(spark, ["assistant", "user"]).drop("seq")
