@@ -102,16 +102,21 @@ def contrastive_loss(spark: SparkSession, root: str) -> DataFrame:
 
 
 def diff_round_trip(spark: SparkSession, root: str) -> DataFrame:
-    """A one-line change to every shell script with a first line of its own, applied and reverted."""
-    files = read_table(spark, root, "source_files").where(F.col("path").endswith(".sh") & F.col("text").isNotNull() & F.col("text").startswith("#!"))
-    files = files.select(F.concat_ws("/", F.col("file_id").cast("string"), "path").alias("path"), F.regexp_replace("text", "\r\n", "\n").alias("text")).distinct()
+    """A line put after the first one of every source file that has a text, applied, reverted and compared with the text."""
+    files = read_table(spark, root, "source_files").where(F.col("text").isNotNull())
+    files = files.select(F.concat_ws("/", F.col("file_id").cast("string"), "path").alias("path"), "text").distinct()
     first = F.substring_index("text", "\n", 1)
-    single = files.where(F.length(F.replace("text", first)) == F.length("text") - F.length(first))
-    patch = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1,1 +1,2 @@\n-"), first, F.lit("\n+"), first, F.lit("\n+# checked\n"))
-    patches = single.where(F.col("text").contains("\n")).select(F.col("path").alias("patch_id"), patch.alias("diff"))
-    pins = single.select(F.col("path").alias("patch_id"), "path", F.sha2("text", 256).alias("sha256"))
-    done = diffs.apply_patches(patches, single, pins)
-    return done.select("patch_id", "added", "removed", "error", (F.length("new_text") - F.length("old_text")).alias("grown"))
+    open_ = F.when(F.col("text").contains("\n"), "").otherwise(f"\n{diffs.NO_NEWLINE}")
+    hunk = F.when(F.col("text") == "", "@@ -0,0 +1,1 @@").otherwise(F.concat(F.lit("@@ -1,1 +1,2 @@\n-"), first, open_, F.lit("\n+"), first))
+    patch = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), hunk, F.lit("\n+# checked\n"))
+    patches = files.select(F.col("path").alias("patch_id"), patch.alias("diff"))
+    pins = files.select(F.col("path").alias("patch_id"), "path", F.sha2("text", 256).alias("sha256"))
+    done = diffs.apply_patches(patches, files, pins)
+    back = diffs.revert(done, done.select("path", F.col("new_text").alias("text"))).withColumnRenamed("text", "back")
+    same = back.join(files, "path").select("patch_id", "path", F.col("back").eqNullSafe(F.col("text")).alias("same"))
+    return done.join(same, ["patch_id", "path"], "left").select(
+        "patch_id", "added", "removed", "error", (F.length("new_text") - F.length("old_text")).alias("grown"), F.coalesce("same", F.lit(False)).alias("restored")
+    )
 
 
 def ranked_prices(spark: SparkSession, root: str) -> DataFrame:
