@@ -156,6 +156,17 @@ def test_notices():
     assert others and tool and body.strip().startswith("function")
 
 
+def test_notices_beyond_long_headers():
+    licence = "".join(f"// Licence line {i}.\n" for i in range(30))
+    assert sourcefiles.notices(licence + "// Code generated by x. DO NOT EDIT.\nint a;\n") == (True, False, "int a;")
+    assert sourcefiles.notices("int a;\n// Generated by x from y.\n" + licence) == (True, False, "int a;")
+    block = "/* a header\n" + "   of many lines\n" * 20 + "   Generated by x, do not edit */"
+    assert sourcefiles.notices(block + " int a;\n") == (True, False, " int a;") and sourcefiles.notices("int a;\n" + block) == (True, False, "int a;")
+    assert sourcefiles.notices("<!--\nGenerated by x.\n-->\n<p>a</p>") == (True, False, "<p>a</p>")
+    assert sourcefiles.notices("/* never closed\nint a;\n")[2] == "int a;" and sourcefiles.notices("int a; /* b\n c */\n")[2] == "int a; /* b\n c */"
+    assert sourcefiles.notices("/*\n" * 3 + "// a\n") == (False, False, "")
+
+
 def test_foreign_files(spark):
     hand = [f"def work_{i}(items):\n    # keep the order of the items\n    out = []\n    for item in items:\n        out.append(item.name_{i})\n    return out\n\n\nclass Holder{i}:\n    def read(self, path):\n        with open(path) as source:\n            return source.read()\n" for i in range(40)]
     lib = "\n".join(f"def lib_{i}(alpha, beta):\n    gamma_{i} = alpha[{i}] + beta.delta_{i * 7}\n    return gamma_{i}\n" for i in range(30))
