@@ -64,10 +64,13 @@ def fetch_in_order(table: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(table, "id").orderBy("pos")
 
 
-def orphans(table: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Rows whose non-null ``column`` has no row in ``parent``."""
-    keys = parent.select(F.col(parent_key).alias("__key")).distinct()
-    return table.where(F.col(column).isNotNull()).join(keys, table[column] == keys["__key"], "left_anti")
+def orphans(table: DataFrame, column: str, parent: DataFrame, parent_key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose non-null ``column`` has no row in ``parent``; columns in ``more``, where not null, must be equal too."""
+    keys = parent.select(F.col(parent_key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in more)).distinct()
+    same = table[column] == keys["__key"]
+    for c in more:
+        same &= table[c].isNull() | (table[c] == keys[f"__{c}"])
+    return table.where(F.col(column).isNotNull()).join(keys, same, "left_anti")
 
 
 def integrity(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

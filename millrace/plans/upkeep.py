@@ -100,7 +100,7 @@ def orphan_check(spark: SparkSession, root: str) -> DataFrame:
     parts = {
         "messages_without_conversation": store.orphans(m, "conversation_id", c, "id"),
         "citations_without_message": store.orphans(f, "message_id", m, "id"),
-        "reports_without_generation": store.orphans(r, "repo_id", g, "repo_id"),
+        "reports_without_generation": store.orphans(r, "repo_id", g, "repo_id", ("generation",)),
     }
     out = None
     for name, rows in parts.items():

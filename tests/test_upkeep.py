@@ -82,6 +82,24 @@ def test_all_conversations_are_listed(spark, tmp_path):
     assert got == sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
 
 
+def test_orphans_of_two_columns(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("b", 1), ("b", None), (None, 1)], "repo_id string, generation long")
+    parent = spark.createDataFrame([("a", 1), ("a", 1), (None, 2)], "repo_id string, generation long")
+    left = [tuple(r) for r in store.orphans(rows, "repo_id", parent, "repo_id", ("generation",)).collect()]
+    assert sorted(left, key=str) == [("a", 2), ("b", 1), ("b", None)]
+
+
+def test_orphan_check_tells_generations_apart(spark, tmp_path):
+    from millrace.plans import upkeep
+
+    tables = {"messages": "id string, conversation_id string", "conversations": "id string", "citations": "message_id string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, rows in {"index_reports": [("a", 1), ("a", 2)], "index_generations": [("a", 2), ("a", 3)]}.items():
+        spark.createDataFrame(rows, "repo_id string, generation long").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r.problem: r.n for r in upkeep.orphan_check(spark, str(tmp_path)).collect()}["reports_without_generation"] == 1
+
+
 def test_append(spark):
     rows = messages(spark, ["user"])
     new = messages(spark, ["assistant", "user"]).drop("seq")
