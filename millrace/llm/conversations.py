@@ -68,17 +68,25 @@ def has_tool_calls(meta: Column) -> Column:
 
 
 def current_messages(messages: DataFrame, *columns: str) -> DataFrame:
-    """One row per message: the version with the latest ``loaded_at``.
+    """One row per message: the version with the latest ``loaded_at``; of tied ones the greatest by ``columns`` in their order.
 
     ``max`` of a struct combines on the map side, so an id with very many
-    versions needs no large group; equal ties give equal rows.
+    versions needs no large group. A row without an id is told from others by
+    all its fields, however few of them are in ``columns``.
     """
     rest = [c for c in columns if c != "id"]
-    key = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("n"), F.xxhash64(*rest).cast("string")))
+    fields = [c for c in ("conversation_id", "seq", "role", "content", "created_at", "meta") if c in messages.columns]
+    own = F.md5(F.to_json(F.struct(*fields)))
+    key = F.when(F.col("id").isNotNull(), F.concat(F.lit("i"), F.col("id"))).otherwise(F.concat(F.lit("n"), own))
+    keyed = messages.withColumn("message_key", key)
     best = F.max(F.struct("loaded_at", *rest)).alias("best")
-    return messages.groupBy(key.alias("message_key")).agg(F.first("id").alias("id"), best).select(
-        "id", *(F.col(f"best.{c}").alias(c) for c in rest)
-    )
+    return keyed.groupBy("message_key").agg(F.first("id").alias("id"), best).select("id", *(F.col(f"best.{c}").alias(c) for c in rest))
+
+
+def _judged(messages: DataFrame) -> DataFrame:
+    """Messages with the automaton's ``symbol``; whoever resolves versions by ``(conversation_id, seq, symbol)`` first gets the same ones."""
+    rows = messages.select("id", "loaded_at", "conversation_id", "seq", "role", "content", "meta", *(c for c in ("created_at",) if c in messages.columns))
+    return rows.withColumn("symbol", symbol(clean_role(F.col("role")), visible(F.col("content")), has_tool_calls(F.col("meta"))))
 
 
 def symbol(role: Column, text_visible: Column, calls: Column) -> Column:
@@ -94,14 +102,11 @@ def symbol(role: Column, text_visible: Column, calls: Column) -> Column:
 def judge_conversations(messages: DataFrame, headers: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(conversation_id, has_header, n_messages, intact)`` for every conversation of either table.
 
-    Two narrow shuffles: message versions (no content travels, only the
-    automaton's symbol), then blocks; the last one moves one row per block.
+    Narrow shuffles: message versions (no content travels, only the
+    automaton's symbol), then blocks, then groups of blocks; the last one moves
+    one row per group. No task sees more than ``block`` rows of a conversation.
     """
-    narrow = messages.select(
-        "id", "loaded_at", "conversation_id", "seq",
-        symbol(clean_role(F.col("role")), visible(F.col("content")), has_tool_calls(F.col("meta"))).alias("symbol"),
-    )
-    live = current_messages(narrow, "id", "conversation_id", "seq", "symbol").where(F.col("conversation_id").isNotNull())
+    live = current_messages(_judged(messages), "id", "conversation_id", "seq", "symbol").where(F.col("conversation_id").isNotNull())
     # Equal sequence numbers are counted before rows meet, so that a number
     # repeated a million times is one row, and breaks its conversation.
     slots = live.groupBy("conversation_id", "seq").agg(F.count("*").alias("n"), F.min("symbol").alias("symbol"))
@@ -122,14 +127,21 @@ def judge_conversations(messages: DataFrame, headers: DataFrame, block: int = BL
             lambda states, x: F.transform(states, lambda s: F.get(table, s * N_SYMBOLS + x["symbol"])),
         ).alias("map"),
     )
+    # Maps compose, so blocks fold into one map per group of blocks before a conversation's maps meet.
+    start = F.array(*(F.lit(s) for s in range(N_STATES)))
+    groups = blocks.groupBy("conversation_id", F.floor(F.col("block") / block).alias("group")).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps"),
+    )
+    folded = F.aggregate("maps", start, lambda states, m: F.transform(states, lambda s: F.get(m["map"], s)))
+    groups = groups.select("conversation_id", "group", "n", "low", "high", folded.alias("map"))
     known = headers.where(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).withColumns(
-        {"block": F.lit(None).cast("bigint"), "n": F.lit(0).cast("bigint"), "low": F.lit(None).cast("bigint"),
+        {"group": F.lit(None).cast("bigint"), "n": F.lit(0).cast("bigint"), "low": F.lit(None).cast("bigint"),
          "high": F.lit(None).cast("bigint"), "map": F.lit(None).cast("array<int>"), "header": F.lit(True)}
     ).distinct()
-    parts = blocks.withColumn("header", F.lit(False)).unionByName(known)
+    parts = groups.withColumn("header", F.lit(False)).unionByName(known)
     whole = parts.groupBy("conversation_id").agg(
         F.max("header").alias("has_header"), F.sum("n").alias("n_messages"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.array_sort(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("block", "map")))).alias("maps"),
+        F.array_sort(F.collect_list(F.when(F.col("map").isNotNull(), F.struct("group", "map")))).alias("maps"),
     )
     final = F.aggregate("maps", F.lit(START), lambda s, m: F.get(m["map"], s))
     contiguous = F.coalesce((F.col("low") == 1) & (F.col("high") == F.col("n_messages")), F.lit(False))
@@ -147,14 +159,13 @@ def broken_conversations(messages: DataFrame, headers: DataFrame) -> DataFrame:
 def rebuild_conversations(messages: DataFrame, headers: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(conversation_id, seq, role, content)`` of the intact conversations, in order within each.
 
-    The order is a sort by key and sequence number inside range partitions, so
-    that a long conversation may lie in several of them and no turn list is
-    ever held in memory.
+    Rows are partitioned by conversation and block of sequence numbers and
+    sorted by sequence number within; so a long conversation may lie in several
+    partitions, and no turn list is ever held in memory. Versions are resolved
+    as for the judge, so what was judged is what comes out.
     """
-    live = current_messages(
-        messages.select("id", "loaded_at", "conversation_id", "seq", clean_role(F.col("role")).alias("role"), "content"),
-        "id", "conversation_id", "seq", "role", "content",
-    )
+    rows = _judged(messages).withColumn("clean", clean_role(F.col("role")))
+    live = current_messages(rows, "id", "conversation_id", "seq", "symbol", "clean", "content")
     intact = judge_conversations(messages, headers, block).where("intact").select("conversation_id")
-    turns = live.join(intact, "conversation_id", "left_semi")
-    return turns.select("conversation_id", "seq", "role", "content").orderBy("conversation_id", "seq")
+    turns = live.join(intact, "conversation_id", "left_semi").select("conversation_id", "seq", F.col("clean").alias("role"), "content")
+    return turns.repartition("conversation_id", F.floor(F.col("seq") / block)).sortWithinPartitions("conversation_id", "seq")

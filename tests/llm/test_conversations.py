@@ -87,3 +87,31 @@ def test_one_very_long_chat(spark):
         F.lit("text").alias("content"), F.lit(0).alias("created_at"), F.lit(None).cast("string").alias("meta"), F.lit(None).cast("timestamp").alias("loaded_at"),
     )
     assert C.judge_conversations(rows, spark.createDataFrame([("c", "t")], HEAD)).first().intact
+
+
+def test_rows_without_id_and_ties_are_judged_as_they_come_out(spark):
+    at = __import__("datetime").datetime(2024, 1, 1)
+    rows = [
+        (None, "a", 1, "user", "one", 0, None, at, None), (None, "a", 1, "user", "other", 0, None, at, None), (None, "a", 2, "assistant", "yes", 0, None, at, None),
+        (None, "b", 1, "user", "hi", 0, None, at, None), (None, "b", 1, "user", "hi", 0, None, None, None), (None, "b", 2, "assistant", "yes", 0, None, at, None),
+        ("x", "c", 1, "user", "hi", 0, None, at, None), ("y", "c", 2, "assistant", "", 0, None, at, None), ("y", "c", 2, "assistant", "yes", 0, None, at, None), ("z", "c", 3, "system", None, 0, None, at, None),
+    ]
+    table, heads = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("a", ""), ("b", ""), ("c", "")], HEAD)
+    judged = {r.conversation_id: (r.intact, r.n_messages) for r in C.judge_conversations(table, heads).collect()}
+    turns = C.rebuild_conversations(table, heads).collect()
+    out = {}
+    for r in turns:
+        out.setdefault(r.conversation_id, []).append((r.seq, r.content))
+    assert judged["a"] == (False, 3) and judged["b"] == (True, 2) and out["b"] == [(1, "hi"), (2, "yes")] and "a" not in out
+    kept = ("yes" if judged["c"][0] else None)
+    assert (("c" in out) == judged["c"][0]) and (kept is None or out["c"][1] == (2, "yes"))
+
+
+def test_long_conversation_in_small_blocks(spark):
+    rows = [("c", i, "user" if i % 2 else "assistant", f"t{i}") for i in range(1, 101)]
+    table = spark.createDataFrame([(f"{c}{i}", c, i, r, t, 0, None, None, None) for c, i, r, t in rows], SCHEMA)
+    heads = spark.createDataFrame([("c", "")], HEAD)
+    assert C.judge_conversations(table, heads, 3).collect()[0].intact
+    turns = C.rebuild_conversations(table, heads, 3)
+    seqs = turns.rdd.mapPartitions(lambda part: [[r.seq for r in part]]).collect()
+    assert all(x == sorted(x) for x in seqs) and sorted(s for x in seqs for s in x) == list(range(1, 101))
