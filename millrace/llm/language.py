@@ -42,7 +42,7 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"https?://\S+")
 _NAME = re.compile(
-    r"[A-Za-z0-9_.\-]*[_/\\][A-Za-z0-9_./\\:\-]*|[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*|[A-Za-z]+\d[A-Za-z0-9]*|[A-Za-z0-9\-]+\.[A-Za-z]{1,4}\b(?!\s+[a-z])|\b(?=\w*\d)[0-9a-fA-F]{6,}\b"
+    r"[A-Za-z0-9_.\-]*[_/\\](?:[A-Za-z0-9_./\\:\-]*[A-Za-z0-9_/\\])?|[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*|[A-Za-z]+\d[A-Za-z0-9]*|[A-Za-z0-9\-]+\.[A-Za-z]{1,4}\b(?!\s+[a-z])|\b(?=\w*\d)[0-9a-fA-F]{6,}\b"
 )
 _SPEAKER = re.compile(r"^\s*(?:user|assistant|system|tool)\s*:\s*", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])\s*|\n+|\s{4,}")
@@ -52,6 +52,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _BULLET = re.compile(r"^\s*(?:[-*+>#]+|\d+[.)])\s+")
 _KANA = re.compile("[぀-ヿ一-鿿]")
 _CLAUSE_WORDS = re.compile(r"[^\W\d_]{2,}")
+_CODE = re.compile(r"[{}()\[\];=<>|\\/$@#]|::|->")
 
 
 def _mend(found: re.Match) -> str:
@@ -69,11 +70,17 @@ def clean_text(text: str) -> str:
     return text.replace("\r\n", "\n")
 
 
-def prose_sentences(text: str) -> list[str]:
-    """Sentences of the text's prose; code, logs, identifiers and paths are left out."""
-    plain = _INLINE.sub(" x ", _FENCE.sub("\n", clean_text(text)))
-    out = []
-    for line in plain.split("\n"):
+def numbered_sentences(text: str, least: int = 3) -> list[tuple[int, str]]:
+    """``(line, sentence)`` of the text's prose, lines counted from 1; code, logs, identifiers and paths are left out.
+
+    A sentence has at least ``least`` words of two letters or more, in Japanese
+    one letter more than that. A text without any such sentence gives its
+    shorter ones, so that every text with prose has some.
+    """
+    plain = _INLINE.sub(" x ", _FENCE.sub(lambda m: "\n" * m.group(0).count("\n") or "    ", clean_text(text)))
+    out: list[tuple[int, str]] = []
+    short: list[tuple[int, str]] = []
+    for number, line in enumerate(plain.split("\n"), 1):
         if not line.strip():
             continue
         line = _BULLET.sub("", _SPEAKER.sub("", line))
@@ -82,11 +89,16 @@ def prose_sentences(text: str) -> list[str]:
             if not sentence:
                 continue
             if _KANA.search(sentence):
-                if len(_LETTER.findall(sentence)) >= 4:
-                    out.append(sentence)
-            elif len(_CLAUSE_WORDS.findall(sentence)) >= 3:
-                out.append(sentence)
-    return out
+                (out if len(_LETTER.findall(sentence)) > least else short).append((number, sentence))
+            elif (words := len(_CLAUSE_WORDS.findall(sentence))) >= least:
+                out.append((number, sentence))
+            elif words and not _CODE.search(sentence):
+                short.append((number, sentence))
+    return out or short
+
+
+def prose_sentences(text: str, least: int = 3) -> list[str]:
+    return [sentence for _, sentence in numbered_sentences(text, least)]
 
 
 ORDERS = (1, 2, 3, 4)
@@ -122,3 +134,28 @@ def language_of_label(label: Column) -> Column:
     key = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]+)(?:[-_].*)?$", 1))
     pairs = [x for code, names in NAMES.items() for name in (code, *names) for x in (F.lit(name), F.lit(code))]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def fit_line(buckets: np.ndarray, owner: np.ndarray, value: np.ndarray, side: np.ndarray, penalty: float, rounds: int, dims: int = DIMS, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a linear support vector machine: squared hinge loss by accelerated gradient steps; deterministic.
+
+    ``side`` is 1, -1 or 0 (not used) of each sentence. Both sides weigh the
+    same, however many sentences each has; ``weight`` is that within a side.
+    """
+    take = side[owner] != 0
+    b, o = buckets[take], owner[take]
+    weight = np.ones(len(side)) if weight is None else weight
+    share = 0.5 * weight * ((side > 0) / max(weight[side > 0].sum(), 1e-300) + (side < 0) / max(weight[side < 0].sum(), 1e-300))
+    w = np.zeros(dims)
+    ahead, moment = w.copy(), 1.0
+    rate = 1.0 / (2.0 * 1.5 + penalty)
+    for _ in range(rounds):
+        score = np.bincount(o, ahead[b], len(side)) * value
+        slack = np.maximum(0.0, 1.0 - side * score) * (side != 0)
+        pull = -2.0 * share * slack * side * value
+        grad = np.bincount(b, pull[o], dims) + penalty * ahead
+        new = ahead - rate * grad
+        later = (1 + np.sqrt(1 + 4 * moment * moment)) / 2
+        ahead = new + (moment - 1) / later * (new - w)
+        w, moment = new, later
+    return w
