@@ -12,6 +12,7 @@ labels do little harm. Every document is then judged over its whole text.
 
 Defined results
 - null, empty and blank texts, and texts without prose, have no language and give no rows;
+- sentences of fewer than three words count only in a text that has no longer one;
 - a text is mixed if at least two sentences each are firmly in two languages;
 - a label that is null, blank or unknown names no language;
 - repeated rows are judged one by one; extra columns are ignored.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.llm.language import DIMS, FAMILIES, FAMILY_OF, LANGUAGES, SEEDS, gram_hashes, language_of_label, prose_sentences
+from millrace.llm.language import DIMS, FAMILIES, FAMILY_OF, LANGUAGES, SEEDS, fit_line, gram_hashes, language_of_label, numbered_sentences, prose_sentences
 
 FIT_ROWS = 120
 FIT_CHARS = 4000
@@ -56,23 +57,7 @@ class Machines:
             side = np.where(np.isin(label, left), 1.0, np.where(np.isin(label, right), -1.0, 0.0))
             if not ((side > 0).any() and (side < 0).any()):
                 continue
-            take = side[owner] != 0
-            b, o = buckets[take], owner[take]
-            # Both sides weigh the same, however many sentences each has.
-            share = np.where(side > 0, 0.5 / max((side > 0).sum(), 1), np.where(side < 0, 0.5 / max((side < 0).sum(), 1), 0))
-            w = np.zeros(DIMS)
-            ahead, moment = w.copy(), 1.0
-            rate = 1.0 / (2.0 * 1.5 + penalty)
-            for _ in range(ROUNDS):
-                score = np.bincount(o, ahead[b], len(sentences)) * value
-                slack = np.maximum(0.0, 1.0 - side * score) * (side != 0)
-                pull = -2.0 * share * slack * side * value
-                grad = np.bincount(b, pull[o], DIMS) + penalty * ahead
-                new = ahead - rate * grad
-                later = (1 + np.sqrt(1 + 4 * moment * moment)) / 2
-                ahead = new + (moment - 1) / later * (new - w)
-                w, moment = new, later
-            self.weights[:, k] = w
+            self.weights[:, k] = fit_line(buckets, owner, value, side, penalty, ROUNDS)
         return self
 
     def scores(self, sentences: list[str]) -> np.ndarray:
@@ -164,17 +149,17 @@ def fit_machines(documents: DataFrame, text_col: str = "text", label_col: str =
     return Machines().fit([sentences[i] for i in good], [labels[i] for i in good])
 
 
-def judge_texts(texts: list[str | None], model: Machines) -> list[tuple[list[str], list[float]]]:
-    """Languages and margins of the sentences of each text; equal sentences of a batch are judged once."""
-    sentences = [prose_sentences(t) if t else [] for t in texts]
+def judge_texts(texts: list[str | None], model: Machines) -> list[tuple[list[str], list[float], list[int]]]:
+    """Languages, margins and lines of the sentences of each text; equal sentences of a batch are judged once."""
+    sentences = [numbered_sentences(t) if t else [] for t in texts]
     place: dict[str, int] = {}
-    spots = [[place.setdefault(s, len(place)) for s in part] for part in sentences]
+    spots = [[place.setdefault(s, len(place)) for _, s in part] for part in sentences]
     every, names, margins = list(place), [], []
     for at in range(0, len(every), STEP):
         said, margin = model.judge(every[at : at + STEP])
         names += said
         margins += margin.tolist()
-    return [([names[i] for i in part], [margins[i] for i in part]) for part in spots]
+    return [([names[i] for i in part], [margins[i] for i in part], [line for line, _ in own]) for part, own in zip(spots, sentences)]
 
 
 def segments_of(names: list[str], margins: list[float]) -> list[tuple[int, int, str, float]]:
@@ -214,10 +199,11 @@ def _segmenter(id_type: pa.DataType, model, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = model.value
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], [], []]
             judged = judge_texts(batch.column(2).to_pylist(), machines)
-            for key, label, (names, margins) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), judged):
+            for key, label, (names, margins, lines) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), judged):
                 found = segments_of(names, margins)
+                spans = [(lines[a], lines[b]) for a, b, _, _ in found]
                 if whole:
                     by: dict[str, list] = {}
                     for a, b, name, margin in found:
@@ -225,11 +211,12 @@ def _segmenter(id_type: pa.DataType, model, whole: bool):
                         mine[0] += b - a + 1
                         mine[1] += margin * (b - a + 1)
                     found = [(len(by), n, name, total / n) for name, (n, total) in sorted(by.items())]
-                for k, (a, b, name, margin) in enumerate(found):
-                    for column, value in zip(rows, (key, label, a if whole else k, b if whole else b - a + 1, name, _confidence(margin))):
+                    spans = [(lines[0], lines[-1])] * len(found) if found else []
+                for k, ((a, b, name, margin), (first, last)) in enumerate(zip(found, spans)):
+                    for column, value in zip(rows, (key, label, a if whole else k, b if whole else b - a + 1, name, _confidence(margin), first, last)):
                         column.append(value)
-            kinds = (id_type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "label", "a", "b", "lang", "confidence"])
+            kinds = (id_type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "label", "a", "b", "lang", "confidence", "first_line", "last_line"])
 
     return run
 
@@ -240,14 +227,17 @@ def _identify(documents: DataFrame, id_col: str, text_col: str, label_col: str,
     kind = documents.schema[id_col].dataType
     model = documents.sparkSession.sparkContext.broadcast(fit_machines(documents, text_col, label_col, id_col, fit_rows))
     rows = documents.select(F.col(id_col).alias("id"), language_of_label(F.col(label_col)).alias("label"), F.col(text_col).alias("text"))
-    schema = f"id {kind.simpleString()}, label string, a int, b int, lang string, confidence double"
+    schema = f"id {kind.simpleString()}, label string, a int, b int, lang string, confidence double, first_line int, last_line int"
     return rows.where(F.col("text").isNotNull()).mapInArrow(_segmenter(to_arrow_type(kind), model, whole), schema)
 
 
 def language_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``(id_col, segment, sentences, lang, confidence)``: the runs of sentences in one language, in order."""
+    """``(id_col, segment, sentences, lang, confidence, first_line, last_line)``: the runs of sentences in one language, in order.
+
+    Lines are counted from 1 and end at LF, CRLF or U+2028.
+    """
     rows = _identify(documents, id_col, text_col, label_col, fit_rows, False)
-    return rows.select(F.col("id").alias(id_col), F.col("a").alias("segment"), F.col("b").alias("sentences"), "lang", "confidence")
+    return rows.select(F.col("id").alias(id_col), F.col("a").alias("segment"), F.col("b").alias("sentences"), "lang", "confidence", "first_line", "last_line")
 
 
 def document_languages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
