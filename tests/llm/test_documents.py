@@ -70,6 +70,13 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark).limit(0)).count() == 0
 
 
+def test_containers_are_full(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], int(n))) for n in rng.integers(20, 900, 900)]
+    rows = packing.pack_documents(documents(spark, texts), capacity=1024).groupBy("container").agg(F.sum("size").alias("size")).collect()
+    assert len({r.container for r in rows}) == len(rows) and sum(r.size for r in rows) / (1024 * len(rows)) > 0.95
+
+
 def test_hilbert_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     order = grid[np.argsort(packing.hilbert_key(grid, 3))]
@@ -95,11 +102,57 @@ def test_splitting_limits_and_cover(spark):
         for (_, first, last, content, cut), (_, following, *_rest) in zip(mine, mine[1:] + [(0, len(lines) + 1)]):
             assert last - first < 60 and len(content.encode()) <= 2400
             covered |= set(range(first, last + 1))
+            assert following <= last + 1 and following >= last + 1 - 8
             if cut == "between_lines":
-                assert content == "\n".join(lines[first - 1 : last]) and following <= last + 1 and following >= last + 1 - 8
+                assert content == "\n".join(lines[first - 1 : last])
         assert covered == set(range(1, len(lines) + 1))
 
 
+def test_overlap_around_long_lines():
+    lines = [f"line {i}" for i in range(1, 71)] + ["word " * 1000 + "end"] + [f"line {i}" for i in range(72, 200)]
+    pieces = splitting.split_text("\n".join(lines))
+    inside = [p for p in pieces if p[3]]
+    first, after = inside[0], inside[-1]
+    assert first[:2] == (67, 71) and first[2].startswith("line 67\nline 68\nline 69\nline 70\nword word")
+    assert after[0] == 71 and after[1] > 72 and after[2].split("\n")[0] == lines[70][-64:] and after[2].split("\n")[1:3] == ["line 72", "line 73"]
+    assert max(p[1] - p[0] for p in pieces) < 60 and max(len(p[2].encode()) for p in pieces) <= 2400
+    plain = [p for p in splitting.split_text("\n".join(lines), overlap=0) if p[3]]
+    assert {p[:2] for p in plain} == {(71, 71)}
+
+
+def test_every_piece_has_something_new():
+    lines = ["a" * 300, "b" * 300, "c" * 300, "d" * 2300, "e"] * 9
+    spans = [(a, b) for a, b, _, _ in splitting.split_text("\n".join(lines))]
+    assert all(y[1] > x[1] for x, y in zip(spans, spans[1:])) and spans[-1][1] == len(lines)
+
+
+def test_depth_does_not_depend_on_slices(monkeypatch):
+    lines = CODE.split("\n")
+    whole = splitting.cohesion_depth(lines)
+    monkeypatch.setattr(splitting, "SLICE", 7)
+    assert np.allclose(whole, splitting.cohesion_depth(lines))
+
+
+def test_pieces_are_better_than_blind_cuts():
+    """The words of neighbouring pieces overlap less at the cuts made than at cuts a few lines off."""
+    rng = np.random.default_rng(4)
+    topics = [[f"{a}{b}" for b in ("ing", "ers", "ed", "ful", "ness")] for a in ("load", "pack", "sort", "trim", "fold", "hash", "scan", "join")]
+    lines = [" ".join(rng.choice(topics[int(t)], 6)) for t in rng.integers(0, 8, 40) for _ in range(int(rng.integers(8, 30)))]
+
+    def likeness(cut):
+        a, b = set(" ".join(lines[max(cut - 5, 0) : cut]).split()), set(" ".join(lines[cut : cut + 5]).split())
+        return len(a & b) / max(len(a | b), 1)
+
+    cuts = [b for _, b, _, _ in splitting.split_text("\n".join(lines), overlap=0)][:-1]
+    assert np.mean([likeness(c) for c in cuts]) < 0.3 * np.mean([likeness(c + d) for c in cuts for d in (-9, 9)])
+
+
+def test_two_texts_of_one_id(spark):
+    rows = [(1, "x\n" * 70), (1, "y" * 3000), (1, "x\n" * 70), (2, "a\n\n" * 40 + "\n")]
+    got = splitting.oversized_cuts(spark.createDataFrame(rows, "file_id long, text string")).collect()
+    assert sorted((r.file_id, r.cut) for r in got) == [(1, "between_lines"), (1, "inside_line"), (2, "between_lines")]
+
+
 def test_long_line_pieces_cover():
     for line in ("word " * 2000, "é" * 5000, "ab" * 9000):
         spans = splitting._inside(line, 2400)
@@ -140,11 +193,23 @@ def test_documents_and_segments(spark):
     rows = [(1, language.SEEDS["en"], "English"), (2, de, "en"), (3, de + "\n\n" + fr, "de"), (4, None, "en"), (5, "  ", "en"), (6, "x = 1", None), (7, fr, None), (8, language.SEEDS["en"] + " Nous ne savions pas si ce serait assez.", "en"), (9, "﻿", "en")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {(r.doc_id, r.lang) for r in langid.mislabelled(table).collect()} == {(2, "de"), (3, "de"), (3, "fr"), (7, "fr")}
-    segments = [(r.segment, r.lang) for r in langid.language_segments(table).where("doc_id = 3").orderBy("segment").collect()]
-    assert segments == [(0, "de"), (1, "fr")]
+    segments = [(r.segment, r.lang, r.first_line, r.last_line) for r in langid.language_segments(table).where("doc_id = 3").orderBy("segment").collect()]
+    assert segments == [(0, "de", 1, 1), (1, "fr", 3, 3)]
     assert langid.mislabelled(table.limit(0)).count() == 0
 
 
+def test_short_texts_have_a_language(spark):
+    rows = [(1, "Guten Tag. Bis bald.", "en"), (2, "Vielen Dank!", None), (3, "Thank you.", "en"), (4, "foo(bar);", "en"), (5, "x = 1", None), (6, "12:30", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.document_languages(table).collect()} == {1, 2, 3}
+    assert 2 in {r.doc_id for r in langid.mislabelled(table).collect()}
+
+
+def test_sentences_know_their_lines():
+    text = "Where is the file?\r\n\r\n```py\nx = 1\ny = 2\n```\nThe file is not here. It was moved away.\n`a b` ```c``` We will look for it."
+    assert [(n, s.strip()) for n, s in language.numbered_sentences(text)] == [(1, "Where is the file?"), (7, "The file is not here."), (7, "It was moved away."), (8, "We will look for it.")]
+
+
 # Source files.
 def test_notices():
     said = lambda t: sourcefiles.notices(t)[:2]
@@ -182,6 +247,33 @@ def test_foreign_files(spark):
     assert sourcefiles.foreign_files(files.limit(0), outside).count() == 0
 
 
+def test_forest_finds_files_whose_notice_it_has_not_seen(spark):
+    """Notices of a fifth of the files are hidden from the fit; the forest alone has to find them."""
+    hand = [f"def work_{i}(items, limit):\n    # keep the order of the items\n    out = []\n    for item in items:\n        if item.size > limit:\n            out.append(item.name_{i})\n    return out\n" * (1 + i % 3) for i in range(60)]
+    made = ["# Code generated by tool. DO NOT EDIT.\n" + "\n".join(f"FIELD_{i}_{j} = _descriptor.Field(name='f{j}', number={j})" for j in range(20 + i)) for i in range(40)]
+    rows = [(i, f"src/m{i}.py", t) for i, t in enumerate(hand)] + [(100 + i, f"src/g{i}.py", t) for i, t in enumerate(made)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    outside = spark.createDataFrame([], "lib_id int, file_name string, text string")
+    hidden = F.col("id") % 5 == 0
+    judged = sourcefiles.judge_files(files, outside, hide=hidden).where(hidden).collect()
+    assert len([r for r in judged if r.tool]) == 8 and all((r.chance >= 0.5) == r.tool for r in judged)
+
+
+def test_outside_prints_are_bounded(spark):
+    texts = ["\n".join(f"int value_{i}_{k % 40} = call_{i}(alpha, {i});" for i in range(30)) for k in range(60)]
+    outside = spark.createDataFrame([(k, "a.c", t) for k, t in enumerate(texts)], "lib_id int, file_name string, text string")
+    most = sourcefiles.outside_prints(outside, 4)[1].groupBy("print").count().agg(F.max("count")).first()[0]
+    files = spark.createDataFrame([(1, "x.c", texts[45] + "\nint mine;"), (2, "y.c", "int other(int a) { return a + 1; }")], "file_id long, path string, text string")
+    shares = {r.id: r for r in sourcefiles.describe_files(files).join(sourcefiles.shares_of_outside(sourcefiles.describe_files(files), outside, 4), "row", "left").collect()}
+    assert most == 4 and shares[1].of_outside > 0.9 and shares[1].of_file > 0.9 and not shares[2].of_outside
+
+
+def test_encoded_bytes_are_data():
+    blob = "\n".join("QmFzZTY0+/" * 7 for _ in range(20))
+    assert sourcefiles.blob_share(f'icon = """{blob}"""\n') > 0.9 and sourcefiles.blob_share("def a_long_name_of_a_function_that_is_written_by_hand_for_once(): pass") < 0.9
+    assert sourcefiles.is_data(f'icon = """{blob}"""\n', __import__("collections").Counter())
+
+
 def test_fingerprints_cover_changed_copies():
     text = "\n".join(f"def lib_{i}(alpha, beta): return alpha[{i}] + beta" for i in range(40))
     whole, part = (set(sourcefiles.fingerprints(t.split())) for t in (text, text.replace("lib_7(", "other(")))
