@@ -55,6 +55,42 @@ def byte_cut(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*cuts))
 
 
+def capped(text: Column, limit: int) -> Column:
+    """A text cut after the character that starts before byte ``limit``, with a note of how much is missing."""
+    raw = F.encode(text, "UTF-8")
+    cut = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, limit + more).cast("string")) for more in range(4)))
+    missing = (F.octet_length(text) - F.octet_length(cut)).cast("string")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(cut, F.lit("\n…[truncated "), missing, F.lit(" bytes]")))
+
+
+def captured(text: Column, limit: int) -> Column:
+    """``(bytes, dropped)``: head and tail of an output, half of ``limit`` bytes each, with a note between them of what was dropped."""
+    raw, half = F.encode(text, "UTF-8"), limit // 2
+    total = F.octet_length(text)
+    dropped = F.greatest(total - 2 * half, F.lit(0))
+    note = F.encode(F.concat(F.lit("\n…[truncated "), dropped.cast("string"), F.lit(" bytes]…\n")), "UTF-8")
+    tail = F.substring(raw, total - half + 1, F.lit(half))
+    return F.struct(F.when(dropped > 0, F.concat(F.substring(raw, 1, half), note, tail)).otherwise(raw).alias("bytes"), dropped.alias("dropped"))
+
+
+def short_digest(digest: Column) -> Column:
+    """The first eight hexadecimal digits, as shown to a reader."""
+    return F.left(digest, F.lit(8))
+
+
+# What an encoder wants ahead of a text, by task.
+TASK_PREFIXES = {"search_query": "search_query: ", "search_document": "search_document: ", "classification": "classification: ", "clustering": "clustering: "}
+
+
+def task_input(task: str, text: Column) -> Column:
+    return F.concat(F.lit(TASK_PREFIXES[task]), text)
+
+
+def recipe(fingerprint: Column, dim: Column) -> Column:
+    """How vectors were made, in one text: an index is only asked by an encoder with the same."""
+    return F.concat_ws("|", fingerprint, F.lit("search_document"), F.concat(F.lit("dim"), dim.cast("string")), F.lit("v1"))
+
+
 def chunk_digest(path: Column, start_line: Column, content: Column) -> Column:
     zero = F.unhex(F.lit("00"))
     parts = (F.encode(path, "UTF-8"), zero, F.encode(start_line.cast("string"), "UTF-8"), zero, F.encode(content, "UTF-8"))
@@ -98,6 +134,24 @@ def is_secret(path: Column) -> Column:
     )
 
 
+# Names that the tools never show, by any part of a path.
+HIDDEN_NAMES, HIDDEN_STARTS, HIDDEN_ENDS, HIDDEN_WORDS = (".git", "target", "node_modules"), (".env", "id_rsa"), (".pem", ".key", ".sqlite"), ("credentials", "secret")
+
+
+def is_hidden_from_tools(path: Column) -> Column:
+    """Whether any part of a path has a name that tools must not show."""
+
+    def hidden(part: Column) -> Column:
+        return any_of([part.isin(*HIDDEN_NAMES), *(part.startswith(x) for x in HIDDEN_STARTS), *(part.endswith(x) for x in HIDDEN_ENDS), *(part.contains(x) for x in HIDDEN_WORDS)])
+
+    return F.exists(F.split(F.lower(path), "/"), hidden)
+
+
+def is_held_out(path: Column, marker: str = "held_out") -> Column:
+    """Whether a path is kept from the model: its name says so."""
+    return F.coalesce(path.contains(marker), F.lit(False))
+
+
 def in_pruned_dir(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*PRUNED_DIRS))

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 JOIN = "\n\n"
 TITLE_CHARS = 48
 
 
-def _whole(extra: str = "conversation_id"):
-    return Window.partitionBy(extra)
+BLOCK = 4096
 
 
-def _running():
-    return Window.partitionBy("conversation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _carried(rows: DataFrame, mark: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``name``: the last non-null ``mark`` at or before each row of its conversation, in the order of ``seq``.
+
+    A running value inside blocks of sequence numbers, and one row a block to
+    carry the last mark of the blocks before; so a conversation that holds a
+    third of all rows is spread over many tasks. Marks must grow with ``seq``.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col("seq") / block)).withColumn("__mark", mark)
+    inside = Window.partitionBy("conversation_id", "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = rows.groupBy("conversation_id", "__block").agg(F.max("__mark").alias("__last"))
+    before = Window.partitionBy("conversation_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("conversation_id", "__block", F.max("__last").over(before).alias("__older"))
+    both = rows.withColumn("__mine", F.max("__mark").over(inside)).join(lasts, ["conversation_id", "__block"])
+    return both.withColumn(name, F.coalesce("__mine", "__older")).drop("__block", "__mark", "__mine", "__older")
+
+
+def _with_previous(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``last_role`` and ``last_calls`` of the row before, across blocks."""
+    rows = rows.withColumn("__block", F.floor(F.col("seq") / block))
+    order = Window.partitionBy("conversation_id", "__block").orderBy("seq")
+    ends = rows.groupBy("conversation_id", "__block").agg(F.max_by(F.struct("role", "calls"), "seq").alias("__end"))
+    before = Window.partitionBy("conversation_id").orderBy("__block")
+    ends = ends.select("conversation_id", "__block", F.lag("__end").over(before).alias("__older"))
+    both = rows.withColumn("__near", F.lag(F.struct("role", "calls")).over(order)).join(ends, ["conversation_id", "__block"])
+    near = F.coalesce("__near", "__older")
+    return both.withColumn("last_role", near["role"]).withColumn("last_calls", F.coalesce(near["calls"], F.lit(False))).drop("__block", "__near", "__older")
 
 
 def after_last_marker(messages: DataFrame) -> DataFrame:
@@ -27,45 +50,46 @@ def history(messages: DataFrame) -> DataFrame:
     return messages.where((F.col("role") != "system") & ((F.coalesce("content", F.lit("")) != "") | F.col("calls")))
 
 
-def merge_roles(messages: DataFrame) -> DataFrame:
+def merge_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(conversation_id, seq, role, content, calls, merged)``: neighbours of one role joined by a blank line.
 
-    Tool rows and rows with tool calls stay by themselves. Islands are
-    numbered by a running count of their starts.
+    Tool rows and rows with tool calls stay by themselves. An island is named
+    by the place of its first row.
     """
-    order = Window.partitionBy("conversation_id").orderBy("seq")
-    alone = (F.col("role") == "tool") | F.col("calls") | F.lag("calls", 1, False).over(order)
-    starts = (F.lag("role").over(order).isNull() | (F.lag("role").over(order) != F.col("role")) | alone).cast("int")
-    rows = messages.withColumn("starts", starts).withColumn("island", F.sum("starts").over(_running()))
+    alone = (F.col("role") == "tool") | F.col("calls") | F.col("last_calls")
+    starts = F.col("last_role").isNull() | (F.col("last_role") != F.col("role")) | alone
+    rows = _carried(_with_previous(messages, block), F.when(starts, F.col("seq")), "island", block)
     merged = rows.groupBy("conversation_id", "island").agg(
-        F.min("seq").alias("seq"), F.first("role").alias("role"),
+        F.first("role").alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), JOIN).alias("content"),
         F.max("calls").alias("calls"), F.count("*").alias("merged"),
     )
-    return merged.drop("island")
+    return merged.withColumnRenamed("island", "seq")
 
 
-def fit_budget(messages: DataFrame, limit: int) -> DataFrame:
+def fit_budget(messages: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
     """``(conversation_id, kept, dropped, tokens, fits)`` after dropping the oldest units until ``limit`` tokens remain.
 
     Units, oldest first: what precedes the first user row; every later user
     row with all that follows it; within the last of those, each assistant row
     with the tool rows directly after it. The last user row itself is never
-    dropped. ``messages`` has a ``tokens`` column.
+    dropped. ``messages`` has a ``tokens`` column. A unit is named by the place
+    of its first row; newer units are summed by blocks first, then within one.
     """
+    last = messages.groupBy("conversation_id").agg(F.max(F.when(F.col("role") == "user", F.col("seq"))).alias("last_user"))
+    rows = messages.select("conversation_id", "seq", "role", "tokens").join(last, "conversation_id")
+    starts = (F.col("role") == "user") | ((F.col("role") == "assistant") & (F.col("seq") > F.col("last_user")))
+    rows = _carried(rows, F.when(starts, F.col("seq")), "unit", block)
+    fixed = F.col("last_user").isNull() | F.coalesce(F.col("unit") == F.col("last_user"), F.lit(False))
+    units = rows.groupBy("conversation_id", "unit").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.first(fixed).alias("fixed"))
+    units = units.withColumn("block", F.coalesce(F.floor(F.col("unit") / block), F.lit(-1)))
+    free = F.when(~F.col("fixed"), F.col("tokens")).otherwise(0)
+    blocks = units.groupBy("conversation_id", "block").agg(F.sum(free).alias("free"), F.sum(F.when(F.col("fixed"), F.col("tokens")).otherwise(0)).alias("fixed_tokens"))
+    newer = Window.partitionBy("conversation_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conversation_id")
-    rows = messages.withColumn("turn", F.sum((F.col("role") == "user").cast("int")).over(_running()))
-    rows = rows.withColumn("last_turn", F.max("turn").over(whole)).withColumn("round", F.sum((F.col("role") == "assistant").cast("int")).over(
-        Window.partitionBy("conversation_id", "turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inner = (F.col("turn") == F.col("last_turn")) & (F.col("turn") > 0)
-    # Units of earlier turns count by turn; in the last turn the user row is unit 0 and can't be dropped.
-    rows = rows.withColumn("fixed", inner & (F.col("round") == 0) | (F.col("last_turn") == 0))
-    unit = F.struct(F.col("turn").alias("turn"), F.when(inner, F.col("round")).otherwise(0).alias("round"))
-    sizes = rows.withColumn("unit", unit).groupBy("conversation_id", "unit", "fixed").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    newest = Window.partitionBy("conversation_id").orderBy(F.col("unit").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fixed = F.coalesce(F.sum(F.when(F.col("fixed"), F.col("tokens"))).over(whole), F.lit(0))
-    free = F.coalesce(F.sum(F.when(~F.col("fixed"), F.col("tokens"))).over(newest), F.lit(0))
-    marked = sizes.withColumn("stays", F.col("fixed") | (fixed + free <= limit))
+    blocks = blocks.select("conversation_id", "block", (F.coalesce(F.sum("free").over(newer), F.lit(0)) + F.sum("fixed_tokens").over(whole)).alias("ahead"))
+    inside = Window.partitionBy("conversation_id", "block").orderBy(F.col("unit").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = units.withColumn("mine", F.sum(free).over(inside)).join(blocks, ["conversation_id", "block"]).withColumn("stays", F.col("fixed") | (F.col("ahead") + F.col("mine") <= limit))
     totals = marked.groupBy("conversation_id").agg(
         F.sum(F.when(F.col("stays"), F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("stays"), 0).otherwise(F.col("n"))).alias("dropped"),
         F.coalesce(F.sum(F.when(F.col("stays"), F.col("tokens"))), F.lit(0)).alias("tokens"),
@@ -81,10 +105,9 @@ def titles(messages: DataFrame) -> DataFrame:
 
 def tool_rounds(messages: DataFrame) -> DataFrame:
     """``(conversation_id, rounds)``: assistant rows with tool calls placed after the last user row."""
-    last = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(_whole())
-    rows = messages.withColumn("last_user", F.coalesce(last, F.lit(-1)))
+    last = messages.groupBy("conversation_id").agg(F.coalesce(F.max(F.when(F.col("role") == "user", F.col("seq"))), F.lit(-1)).alias("last_user"))
     counted = F.count_if((F.col("role") == "assistant") & F.col("calls") & (F.col("seq") > F.col("last_user")))
-    return rows.groupBy("conversation_id").agg(counted.alias("rounds"))
+    return messages.join(last, "conversation_id").groupBy("conversation_id").agg(counted.alias("rounds"))
 
 
 def repairs_used(messages: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -98,23 +121,35 @@ def repairs_used(messages: DataFrame, attempts: DataFrame) -> DataFrame:
 def coalesce_deltas(deltas: DataFrame, gap_ms: int = 40) -> DataFrame:
     """``(stream_id, flush, text, n)``: pieces of a stream joined until ``gap_ms`` have passed since the last flush.
 
-    Each flush depends on the one before, so a stream is folded in order, as
-    rows ``(stream_id, at_ms, piece)`` of one group.
+    Each flush depends on the one before, so a stream is read in order: rows
+    ``(stream_id, at_ms, piece)`` are sorted by stream and time and folded as
+    they pass, with nothing held but the text that isn't flushed yet. Streams
+    are spread over tasks by name.
     """
-    pieces = F.array_sort(F.collect_list(F.struct("at_ms", "piece")))
-    start = F.struct(F.lit(None).cast("bigint").alias("since"), F.lit("").alias("text"), F.lit(0).alias("n"), F.array().cast("array<struct<text:string,n:int>>").alias("out"))
-
-    def step(s, x):
-        text, n = F.concat(s["text"], x["piece"]), s["n"] + 1
-        due = s["since"].isNotNull() & (x["at_ms"] - s["since"] >= gap_ms)
-        first = s["since"].isNull()
-        return F.struct(
-            F.when(due | first, x["at_ms"]).otherwise(s["since"]).alias("since"), F.when(due, F.lit("")).otherwise(text).alias("text"), F.when(due, 0).otherwise(n).alias("n"),
-            F.when(due, F.concat(s["out"], F.array(F.struct(text.alias("text"), n.alias("n"))))).otherwise(s["out"]).alias("out"),
-        )
-
-    def finish(s):
-        return F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["text"].alias("text"), s["n"].alias("n"))))).otherwise(s["out"])
-
-    folded = deltas.groupBy("stream_id").agg(pieces.alias("pieces")).select("stream_id", F.aggregate("pieces", start, step, finish).alias("flushes"))
-    return folded.select("stream_id", F.posexplode("flushes").alias("flush", "x")).select("stream_id", "flush", "x.text", "x.n")
+    import pyarrow as pa
+
+    def run(batches):
+        stream, since, parts, flush = None, None, [], 0
+        for batch in batches:
+            out = []
+            for name, at, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if name != stream:
+                    if parts:
+                        out.append((stream, flush, "".join(parts), len(parts)))
+                    stream, since, parts, flush = name, None, [], 0
+                parts.append(piece)
+                if since is None:
+                    since = at
+                elif at - since >= gap_ms:
+                    out.append((stream, flush, "".join(parts), len(parts)))
+                    since, parts, flush = at, [], flush + 1
+            yield _flushes(out)
+        if parts:
+            yield _flushes([(stream, flush, "".join(parts), len(parts))])
+
+    def _flushes(rows):
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32()))], ["stream_id", "flush", "text", "n"])
+
+    rows = deltas.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("at_ms").cast("bigint").alias("at_ms"), F.coalesce("piece", F.lit("")).alias("piece"))
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "at_ms", "piece").mapInArrow(run, "stream_id string, flush int, text string, n int")

@@ -18,19 +18,42 @@ def check_logits(rows: DataFrame, k: int) -> DataFrame:
     return sizes.select("group_id", error.alias("error")).where(F.col("error").isNotNull())
 
 
+def check_softmax(rows: DataFrame, temperature: float, top_p: float) -> DataFrame:
+    """``(group_id, error)`` of groups that a softmax refuses, in this order: temperature, top_p, nan, degenerate (no finite greatest value)."""
+    sizes = rows.groupBy("group_id").agg(F.max(F.isnan("value")).alias("bad"), F.max(F.when(~F.isnan("value"), F.col("value"))).alias("top"))
+    if not temperature > 0:
+        error = F.lit("temperature")
+    elif not 0 < top_p <= 1:
+        error = F.lit("top_p")
+    else:
+        error = F.when(F.col("bad"), "nan").when(F.abs("top") == float("inf"), "degenerate")
+    return sizes.select("group_id", error.alias("error")).where(F.col("error").isNotNull())
+
+
 def softmax_top_p(rows: DataFrame, temperature: float, top_p: float) -> DataFrame:
-    """``(group_id, idx, p, rank)``: the smallest prefix of the most likely candidates that reaches ``top_p``, renormalised."""
+    """``(group_id, idx, p, rank)``: the smallest prefix of the most likely candidates that reaches ``top_p``, renormalised.
+
+    Groups that ``check_softmax`` refuses give no rows. All steps are windows
+    over one partitioning by group.
+    """
     if not temperature > 0 or not 0 < top_p <= 1:
         raise ValueError("temperature must be positive and top_p in (0, 1]")
-    top = rows.groupBy("group_id").agg(F.max("value").alias("top"))
-    raised = rows.join(top, "group_id").withColumn("e", F.exp((F.col("value") - F.col("top")) / temperature))
-    total = raised.groupBy("group_id").agg(F.sum("e").alias("total"))
-    chance = raised.join(total, "group_id").withColumn("chance", F.col("e") / F.col("total"))
-    order = Window.partitionBy("group_id").orderBy(F.round("chance", 12).desc(), "idx")
+    whole = Window.partitionBy("group_id")
+    known = rows.select("group_id", "idx", F.col("value").cast("double").alias("value"))
+    # NaN is the greatest of all doubles, so it shows as the greatest value.
+    sound = known.withColumn("top", F.max("value").over(whole)).where(~F.isnan("top") & (F.abs("top") < float("inf")))
+    raised = sound.withColumn("e", F.exp((F.col("value") - F.col("top")) / temperature))
+    chance = raised.withColumn("chance", F.col("e") / F.sum("e").over(whole))
+    order = whole.orderBy(F.round("chance", 12).desc(), "idx")
     before = F.coalesce(F.sum(F.round("chance", 12)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = chance.withColumn("rank", F.row_number().over(order)).withColumn("before", before).where((F.col("rank") == 1) | (F.round("before", 9) < top_p))
-    mass = kept.groupBy("group_id").agg(F.sum("chance").alias("mass"))
-    return kept.join(mass, "group_id").select("group_id", "idx", (F.col("chance") / F.col("mass")).alias("p"), "rank")
+    return kept.select("group_id", "idx", (F.col("chance") / F.sum("chance").over(whole)).alias("p"), "rank")
+
+
+def recent_window(drawn: DataFrame, size: int = 64) -> DataFrame:
+    """``(group_id, idx)`` of the last ``size`` draws ``(group_id, at, idx)`` of each group, repeats kept."""
+    last = Window.partitionBy("group_id").orderBy(F.col("at").desc())
+    return drawn.withColumn("back", F.row_number().over(last)).where(F.col("back") <= size).select("group_id", "idx")
 
 
 def penalize_recent(rows: DataFrame, recent: DataFrame, penalty: float) -> DataFrame:
@@ -68,14 +91,22 @@ def uniform24(state: int, count: int) -> list[float]:
     return out
 
 
-def sample(rows: DataFrame, numbers: DataFrame, recent: DataFrame | None = None, temperature: float = 0.15, k: int = 64, top_p: float = 1.0, penalty: float = 1.0) -> DataFrame:
-    """``(group_id, idx)``: the whole chain of penalty, top-k, softmax, nucleus and draw, with greedy fall-backs."""
-    if recent is not None and penalty > 0 and penalty != 1.0:
-        rows = penalize_recent(rows, recent, penalty)
+def sample(
+    rows: DataFrame, numbers: DataFrame, drawn: DataFrame | None = None, temperature: float = 0.15, k: int = 64, top_p: float = 1.0, penalty: float = 1.0, window: int = 64
+) -> DataFrame:
+    """``(group_id, idx)``: the whole chain of penalty, top-k, softmax, nucleus and draw.
+
+    ``drawn (group_id, at, idx)`` are earlier draws, of which the last
+    ``window`` are pushed down. A temperature of zero or less, and groups that
+    a softmax refuses, are answered by the greatest value; ``k`` of zero takes
+    all candidates, and a ``top_p`` outside of (0, 1] counts as 1.
+    """
+    if drawn is not None and penalty > 0 and penalty != 1.0:
+        rows = penalize_recent(rows, recent_window(drawn, window), penalty)
     if temperature <= 0:
         return greedy(rows)
-    broken = rows.groupBy("group_id").agg(F.max(F.isnan("value") | (F.col("value") == float("inf"))).alias("bad")).where("bad").select("group_id")
-    sound = rows.join(broken, "group_id", "left_anti")
-    short = top_logits(sound, k) if k > 0 else sound
-    drawn = draw(softmax_top_p(short.select("group_id", "idx", "value"), temperature, top_p if 0 < top_p <= 1 else 1.0), numbers)
-    return drawn.unionByName(greedy(rows.join(broken, "group_id", "left_semi")))
+    short = top_logits(rows.where(~F.isnan("value")), k) if k > 0 else rows
+    broken = check_softmax(rows, temperature, 1.0).select("group_id")
+    sound = short.join(broken, "group_id", "left_anti").select("group_id", "idx", "value")
+    picked = draw(softmax_top_p(sound, temperature, top_p if 0 < top_p <= 1 else 1.0), numbers)
+    return picked.unionByName(greedy(rows.join(broken, "group_id", "left_semi")))

@@ -1,8 +1,9 @@
 """Lexical scoring, hashed embeddings and rank fusion over chunk tables ``(id, path, content, symbol)``.
 
-A generation's postings are made once and reused by every query. Queries are a
-table ``(query_id, text)``; their terms restrict the postings before anything
-is grouped. What meets every row is a one-row table of corpus statistics.
+Texts are read once by ``analysis.analyse``; queries are a table ``(query_id,
+text)``. Where the terms of all queries are few, which is checked, a text gives
+only those; otherwise postings of all terms are joined with them. What meets
+every row is a one-row table of corpus statistics.
 """
 
 from __future__ import annotations
@@ -10,46 +11,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.functions import text as T
-from millrace.functions.hashing import fnv1a64_halves
+from millrace.operators import nearest
+from millrace.operators.analysis import DIM, analyse
 from millrace.session import cut_lineage
 
 K1, B, BOOST = 1.2, 0.75, 1.5
 RRF_K, OVERFETCH = 60, 4
-DIM = 256
+FEW_TERMS = 65536
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``(id, term, tf, len)`` with the path's tokens and the content's; ``len`` counts every token."""
-    rows = chunks.select("id", F.concat(T.tokens(F.coalesce("path", F.lit(""))), T.tokens(F.coalesce("content", F.lit("")))).alias("tokens"))
-    # An outer explode: for a plain one the optimizer adds a size filter below, which makes the tokens a second time.
-    spread = rows.select("id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
-    return spread.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    """``(id, term, tf, len)`` with the path's tokens and the content's; ``len`` counts every token. No shuffle: a text counts its own terms."""
+    return _spread(analyse(chunks, vectors=False))
 
 
-def lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean token count, 1 at least; chunks without tokens count too."""
-    size = chunks.agg(F.count("*").alias("n"))
-    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    return size.crossJoin(total).select("n", F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean_len"))
+def _spread(analysed: DataFrame) -> DataFrame:
+    return analysed.select("id", "len", F.explode_outer("terms").alias("x")).where(F.col("x").isNotNull()).select("id", "x.term", "x.tf", "len")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, limit: int, posted: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, limit: int, few: int = FEW_TERMS) -> DataFrame:
     """``(query_id, id, score, rank)``: the best chunks by BM25, those whose symbol is a query term raised by half.
 
     Scores are rounded to 6 decimals before they are ranked; ties go by id.
+    Chunks without tokens count in the mean length, which is 1 at least.
     """
-    posted = cut_lineage(postings(chunks)) if posted is None else posted
     terms = query_terms(queries)
-    held = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = [r.term for r in terms.select("term").distinct().limit(few + 1).collect()]
+    if len(wanted) <= few:
+        analysed = cut_lineage(analyse(chunks, terms=frozenset(wanted), vectors=False).select("id", "len", "terms"))
+        held = _spread(analysed)
+    else:
+        analysed = cut_lineage(analyse(chunks, vectors=False).select("id", "len", "terms"))
+        held = _spread(analysed).join(terms.select("term").distinct(), "term", "left_semi")
+    sizes = analysed.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("mean_len"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(lengths(chunks, posted)).select("term", idf.alias("idf"), "mean_len")
+    weights = df.crossJoin(sizes).select("term", idf.alias("idf"), "mean_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = held.join(weights, "term").join(terms, "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
+    scored = held.join(terms.join(weights, "term"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
     raised = symbol_hits(chunks, terms).withColumn("raised", F.lit(True))
     scored = scored.join(raised, ["query_id", "id"], "left").withColumn("score", F.round(F.col("raw") * F.when(F.col("raised"), BOOST).otherwise(1.0), 6))
     return top(scored.where(F.col("score") > 0).select("query_id", "id", "score"), limit)
@@ -67,39 +70,25 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def axes_of(counts: DataFrame, key: str, dim: int) -> DataFrame:
-    """``(key, axis, weight)`` from term counts ``(key, term, tf)``: hashed to ``dim`` axes, each key at unit length.
-
-    Only distinct terms are hashed.
-    """
-    axes = counts.select("term").distinct().select("term", hash_mod(F.col("term"), dim).cast("int").alias("axis"))
-    spread = counts.join(axes, "term").groupBy(key, "axis").agg(F.sum("tf").cast("double").alias("tf"))
-    size = spread.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("size"))
-    return spread.join(size, key).select(key, "axis", (F.col("tf") / F.col("size")).alias("weight"))
-
-
-_HALVES = 2**32
-
+def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """``(key, axis, weight)``: the hashed bag-of-tokens embedding of each text, its axes that aren't zero."""
+    made = analyse(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), ("text",), dim=dim, counted=False)
+    return made.select(F.col("id").alias(key), F.posexplode("vec").alias("axis", "weight")).where(F.col("weight") != 0)
 
-def hash_mod(term, dim: int):
-    """The 64-bit hash of a term modulo ``dim``."""
-    h = fnv1a64_halves(term)
-    return ((h["high"] % dim) * (_HALVES % dim) + h["low"]) % dim
 
+def embedded(chunks: DataFrame, columns: tuple[str, ...] = ("path", "content"), dim: int = DIM) -> DataFrame:
+    """``(id, vec)``: dense hashed embeddings."""
+    return analyse(chunks, columns, dim=dim, counted=False).select("id", "vec")
 
-def hashed_embedding(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """``(key, axis, weight)``: the hashed bag-of-tokens embedding of each text."""
-    counts = rows.select(key, F.explode_outer(T.tokens(F.col(text))).alias("term")).where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return axes_of(counts, key, dim)
 
+def vector_rank(chunks: DataFrame, queries: DataFrame, limit: int, dim: int = DIM) -> DataFrame:
+    """``(query_id, id, score, rank)`` by cosine of hashed embeddings, of chunks that share something with the query.
 
-def vector_rank(chunks: DataFrame, queries: DataFrame, limit: int, dim: int = DIM, posted: DataFrame | None = None) -> DataFrame:
-    """``(query_id, id, score, rank)`` by cosine of hashed embeddings, joined by shared axes."""
-    posted = cut_lineage(postings(chunks)) if posted is None else posted
-    docs = axes_of(posted.select("id", "term", "tf"), "id", dim)
-    asked = hashed_embedding(queries, "query_id", "text", dim).withColumnRenamed("weight", "asked")
-    scored = docs.join(asked, "axis").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
-    return top(scored, limit)
+    Vectors are dense and meet the queries in blocks where they are made.
+    """
+    asked = analyse(queries.select(F.col("query_id").alias("id"), "text"), ("text",), dim=dim, counted=False).select(F.col("id").alias("query_id"), "vec")
+    found = nearest.top_k(embedded(chunks, dim=dim), asked, limit)
+    return found.where(F.col("score") > 0)
 
 
 def fuse(lists: dict[str, DataFrame], chunks: DataFrame, k: int) -> DataFrame:
@@ -119,6 +108,5 @@ def fuse(lists: dict[str, DataFrame], chunks: DataFrame, k: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best ``k`` chunks a query by fused lexical and vector ranks, each retriever fetching four times as many."""
-    posted = cut_lineage(postings(chunks))
-    lists = {"lexical": bm25(chunks, queries, k * OVERFETCH, posted), "vector": vector_rank(chunks, queries, k * OVERFETCH, posted=posted)}
+    lists = {"lexical": bm25(chunks, queries, k * OVERFETCH), "vector": vector_rank(chunks, queries, k * OVERFETCH)}
     return fuse(lists, chunks, k)

@@ -52,11 +52,79 @@ def touch_conversations(conversations: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", F.col("updated_at")))).select(*conversations.columns)
 
 
-def set_fields(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
-    """Rows of ``table`` with the non-null fields of ``changes`` put in by ``key``."""
-    fields = [c for c in changes.columns if c != key]
-    rows = table.join(changes.select(key, *(F.col(c).alias(f"__{c}") for c in fields)), key, "left")
-    return rows.select(*(F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns))
+def set_fields(table: DataFrame, keys: list[str], changes: DataFrame) -> DataFrame:
+    """Rows of ``table`` with the other fields of ``changes`` put in by ``keys``, nulls too; columns that ``changes`` lacks stay."""
+    fields = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__{c}") for c in fields))
+    rows = table.join(new, keys, "left")
+    return rows.select(*(F.when(F.col("__hit"), F.col(f"__{c}").cast(table.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns))
+
+
+def not_found(table: DataFrame, keys: list[str], changes: DataFrame) -> DataFrame:
+    """Keys of ``changes`` that no row of ``table`` has: what a caller is told instead of a change."""
+    return changes.select(*keys).distinct().join(table.select(*keys), keys, "left_anti").withColumn("error", F.lit("not_found"))
+
+
+def delete_repos(repos: DataFrame, generations: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All three tables without the repositories in ``ids (repo_id)``, their generations and the chunks of those."""
+    gone = ids.select("repo_id").distinct()
+    left = generations.join(gone, "repo_id", "left_anti")
+    kept = left.select("repo_id", "generation").distinct()
+    return repos.join(gone, "repo_id", "left_anti").select(*repos.columns), left.select(*generations.columns), chunks.join(kept, ["repo_id", "generation"], "left_semi").select(*chunks.columns)
+
+
+NEW_TITLE, TITLE_CHARS = "New chat", 48
+
+
+def send(conversations: DataFrame, messages: DataFrame, sends: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(conversations, messages, errors)`` after user messages ``sends (id, conversation_id, text, created_at, admitted)``.
+
+    Texts are trimmed. An ``empty`` one, one to a conversation that isn't there
+    (``not_found``) and one that was not ``admitted`` (``busy``) leave no trace.
+    A first user message gives its start as title where none was set.
+    """
+    known = conversations.select(F.col("id").alias("conversation_id"), F.lit(True).alias("known")).distinct()
+    rows = sends.withColumn("content", F.trim("text")).join(known, "conversation_id", "left")
+    error = F.when(F.coalesce("content", F.lit("")) == "", "empty").when(F.col("known").isNull(), "not_found").when(~F.coalesce("admitted", F.lit(False)), "busy")
+    rows = rows.withColumn("error", error)
+    good = rows.where(F.col("error").isNull()).withColumn("role", F.lit("user"))
+    talked = messages.where(F.col("role") == "user").select(F.col("conversation_id").alias("id")).distinct().withColumn("talked", F.lit(True))
+    first = good.groupBy("conversation_id").agg(F.min_by("content", F.struct("created_at", "id")).alias("first"), F.max("created_at").alias("at")).withColumnRenamed("conversation_id", "id")
+    named = conversations.join(first, "id", "left").join(talked, "id", "left")
+    title = F.when(F.col("first").isNotNull() & F.col("talked").isNull() & (F.col("title") == NEW_TITLE), F.trim(F.left(F.col("first"), F.lit(TITLE_CHARS)))).otherwise(F.col("title"))
+    named = named.withColumn("title", title).withColumn("updated_at", F.greatest("updated_at", F.coalesce("at", F.col("updated_at")))).select(*conversations.columns)
+    new = good.select("id", "conversation_id", "role", "content", "created_at")
+    return named, append_messages(messages.select("id", "conversation_id", "seq", "role", "content", "created_at"), new), rows.where(F.col("error").isNotNull()).select("id", "error")
+
+
+def reusable(entries: DataFrame, requests: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``(key, reusable)`` of each request: whether an entry of its key has the same fingerprint in all ``fields``, nulls included."""
+    held = entries.select(key, F.struct(*fields).alias("__made")).distinct().withColumn("__hit", F.lit(True))
+    asked = requests.select(key, F.struct(*fields).alias("__asked"))
+    return asked.join(held, (asked[key] == held[key]) & asked["__asked"].eqNullSafe(held["__made"]), "left").select(asked[key], F.coalesce("__hit", F.lit(False)).alias("reusable"))
+
+
+def allowed(candidates: DataFrame, requests: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Candidates that their request ``(key, allowed array)`` allows, in any order; a null ``allowed`` allows all, an empty one none."""
+    rows = candidates.join(requests.select(key, "allowed"), key)
+    return rows.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col(id_col))).select(*candidates.columns)
+
+
+def zip_positional(left: DataFrame, right: DataFrame, key: str, left_order: list, right_order: list) -> DataFrame:
+    """Rows of ``left`` and ``right`` of one ``key`` side by side, first with first, as far as both go, with ``place`` from 1."""
+    a = left.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*left_order)))
+    b = right.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*right_order)))
+    return a.join(b, [key, "place"])
+
+
+# Tokens of input that each mode of work may take, and how many are read at a time.
+INPUT_TOKENS, PREFILL_TOKENS = {"quiet": 512, "balanced": 1024, "performance": 2048}, {"quiet": 256, "balanced": 512, "performance": 1024}
+
+
+def by_mode(mode: Column, table: dict[str, int]) -> Column:
+    """A mode's value in ``table``; that of the quiet mode for a null or unknown one."""
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.trim(mode))), F.lit(table["quiet"]))
 
 
 def fetch_in_order(table: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bytes of an element by tensor type name.
@@ -25,12 +27,13 @@ def dequantize(words: Column, scales: Column, biases: Column, group_size: int) -
     return F.transform(values, lambda q, i: F.get(scales, F.floor(i / group_size).cast("int")) * q + F.get(biases, F.floor(i / group_size).cast("int")))
 
 
-def layout_error(words: Column, scales: Column, bits: int, group_size: int) -> Column:
-    """Why a packed row is refused, or null: wrong bits, no group size, a length that isn't a multiple."""
-    columns = F.size(words) * 8
+def layout_error(packed: Column, groups: Column, bits: int, group_size: int) -> Column:
+    """Why ``packed`` words and ``groups`` scales a row are refused, or null: wrong bits, no group size, a count beyond 63 bits, counts that don't fit."""
+    columns = F.try_multiply(packed.cast("bigint"), F.lit(8).cast("bigint"))
+    covered = F.try_multiply(groups.cast("bigint"), F.lit(group_size).cast("bigint"))
     return (
         F.when(F.lit(bits) != 4, "bits").when(F.lit(group_size) == 0, "group_size")
-        .when(columns != F.size(scales) * max(group_size, 1), "columns")
+        .when(columns.isNull() | covered.isNull(), "overflow").when(columns != covered, "columns")
     )
 
 
@@ -39,6 +42,16 @@ def bf16_finite(bits: Column) -> Column:
     return bits.bitwiseAND(F.lit(0x7F80)) != 0x7F80
 
 
+def bf16_value(bits: Column) -> Column:
+    """The number of a bfloat16 bit pattern, by sign, exponent and fraction."""
+    sign = F.when(bits.bitwiseAND(F.lit(0x8000)) != 0, -1.0).otherwise(1.0)
+    exponent = F.shiftright(bits.bitwiseAND(F.lit(0x7F80)), 7)
+    part = bits.bitwiseAND(F.lit(0x7F)) / F.lit(128.0)
+    special = F.when(part == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    plain = sign * F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 127) * (part + F.when(exponent > 0, 1.0).otherwise(0.0))
+    return F.when(exponent == 255, special).otherwise(plain)
+
+
 def scale_stats(rows: DataFrame, key: str, scales: str) -> DataFrame:
     """``(key, nonfinite, zero_scales, low, high)`` over finite scales, 0 where there are none."""
     spread = rows.select(key, F.explode(scales).alias("s"))
@@ -98,10 +111,50 @@ def layer_norm(vector: Column, eps: float = 1e-12) -> Column:
     return _let(_let(total(vector) / F.size(vector), lambda m: F.transform(vector, lambda x: x - m)), scaled)
 
 
-def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Product of matrices in long form ``(i, k, v)`` and ``(k, j, v)``: ``(i, j, v)``."""
-    both = left.select("i", "k", F.col("v").alias("a")).join(right.select("k", "j", F.col("v").alias("b")), "k")
-    return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+def multiply(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
+    """Product of matrices in long form ``(i, k, v)`` and ``(k, j, v)``: ``(i, j, v)``.
+
+    The shared index is cut into ``parts``; each is a dense product of its own,
+    of the rows and columns that occur in it, and only the sums meet. So what is
+    shuffled is the entries once and one partial product a part, not every pair
+    of entries.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, row_at = np.unique(a["i"].to_numpy(), return_inverse=True)
+        cols, col_at = np.unique(b["j"].to_numpy(), return_inverse=True)
+        shared, at = np.unique(np.concatenate([a["k"].to_numpy(), b["k"].to_numpy()]), return_inverse=True)
+        x, y = np.zeros((len(rows), len(shared))), np.zeros((len(shared), len(cols)))
+        np.add.at(x, (row_at, at[: len(a)]), a["v"].to_numpy())
+        np.add.at(y, (at[len(a) :], col_at), b["v"].to_numpy())
+        made = x @ y
+        return pa.table({"i": np.repeat(rows, len(cols)), "j": np.tile(cols, len(rows)), "v": made.ravel()})
+
+    by = F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")
+    a = left.select(by, F.col("i").cast("bigint").alias("i"), F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
+    b = right.select(by, F.col("k").cast("bigint").alias("k"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    made = a.groupBy("part").cogroup(b.groupBy("part")).applyInArrow(run, "i bigint, j bigint, v double")
+    return made.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def gram(rows: DataFrame, vec: str) -> DataFrame:
+    """``(i, j, v)``: the products of all pairs of components, summed over the vectors.
+
+    Every partition of the scan sums its own small matrix; no vector is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            column = batch.column(0)
+            if len(column):
+                x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n)), pa.array(total.ravel())], ["i", "j", "v"])
+
+    return rows.where(F.col(vec).isNotNull()).select(vec).mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str) -> DataFrame:
@@ -167,3 +220,49 @@ def tensor_catalog(files: DataFrame) -> DataFrame:
 def first_shard(catalog: DataFrame) -> DataFrame:
     rest = [c for c in catalog.columns if c not in ("name", "path")]
     return catalog.where(F.col("error").isNull()).groupBy("name").agg(F.min(F.struct("path", *rest)).alias("x")).select("name", "x.*")
+
+
+def weight_bytes(catalog: DataFrame, prefix: str) -> DataFrame:
+    """``(bytes, tensors)``: what the tensors take whose names start with ``prefix``."""
+    mine = catalog.where(F.col("name").startswith(prefix))
+    return mine.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes"), F.count("*").alias("tensors"))
+
+
+# How little-endian elements of each type are read; bfloat16 is the upper half of a 32-bit float.
+_READ = {"BOOL": "?", "U8": "u1", "I8": "i1", "U16": "<u2", "I16": "<i2", "F16": "<f2", "BF16": "<u2", "U32": "<u4", "I32": "<i4", "F32": "<f4", "U64": "<u8", "I64": "<i8", "F64": "<f8"}
+
+
+def tensor_values(raw: bytes, dtype: str) -> np.ndarray:
+    data = np.frombuffer(raw, dtype=_READ[dtype])
+    if dtype == "BF16":
+        data = (data.astype(np.uint32) << 16).view(np.float32)
+    return data.astype(np.float64)
+
+
+def read_tensors(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(name, path, shape, values, error)`` of each tensor in ``wanted (name, dtype, shape)`` from files ``(path, content)``.
+
+    A null ``dtype`` or ``shape`` is not checked. Errors are missing, dtype and
+    shape, in this order; of several files with a name the first by path counts.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                error, values = None, None
+                if r.start is None or r.start != r.start:
+                    error = "missing"
+                elif r.dtype is not None and r.dtype != r.found:
+                    error = "dtype"
+                elif r.shape is not None and list(r.shape) != list(r.held):
+                    error = "shape"
+                else:
+                    base = 8 + struct.unpack("<Q", r.content[:8])[0]
+                    values = tensor_values(r.content[base + int(r.start) : base + int(r.end)], r.found)
+                out.append((r.name, r.path, None if r.held is None else list(r.held), values, error))
+            yield pd.DataFrame(out, columns=["name", "path", "shape", "values", "error"])
+
+    known = first_shard(tensor_catalog(files)).select("name", "path", F.col("dtype").alias("found"), F.col("shape").alias("held"), "start", "end")
+    rows = wanted.select("name", "dtype", "shape").join(known, "name", "left").join(files.select("path", "content"), "path", "left")
+    return rows.select("name", "dtype", "shape", "path", "found", "held", "start", "end", "content").mapInPandas(run, "name string, path string, shape array<bigint>, values array<double>, error string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.functions import text as T
 
-HIT_BYTES = 400
+HIT_BYTES, SEARCH_BYTES = 400, 512 * 1024
 
 
 def numbered_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,6 +26,27 @@ def search_lines(docs: DataFrame, needle: str, ignore_case: bool = False, text_c
     return found.withColumn("hit", T.byte_cut(F.col("line"), HIT_BYTES)).drop("line")
 
 
+def search_report(files: DataFrame, needle: str, max_hits: int, ignore_case: bool = False, max_bytes: int = SEARCH_BYTES) -> DataFrame:
+    """One row ``(hits, truncated, files_scanned, files_skipped)`` of a search over ``files (path, text)`` that stops after ``max_hits``.
+
+    Files are visited in the order of their path's parts. Those with an
+    excluded name are not seen; those over ``max_bytes`` or with a zero byte
+    are skipped. The search ends at the first hit too many, and the counters
+    are of the files visited until then, that one's included. The end is a
+    distributed top-k; nothing is ordered as a whole.
+    """
+    seen = files.where(F.col("path").isNotNull() & ~T.is_hidden_from_tools(F.col("path"))).select(F.split("path", "/").alias("parts"), F.coalesce("text", F.lit("")).alias("text"))
+    skipped = (F.octet_length("text") > max_bytes) | (F.instr("text", "\x00") > 0)
+    rows = seen.withColumn("skipped", skipped)
+    found = search_lines(rows.where(~F.col("skipped")).select("parts", "text"), needle, ignore_case)
+    first = found.select("parts", "line_no").orderBy("parts", "line_no").limit(max_hits + 1)
+    end = first.agg(F.count("*").alias("found"), F.max(F.struct("parts", "line_no")).alias("last"))
+    end = end.select(F.least("found", F.lit(max_hits)).cast("bigint").alias("hits"), (F.col("found") > max_hits).alias("truncated"), F.when(F.col("found") > max_hits, F.col("last.parts")).alias("stop"))
+    visited = rows.select("parts", "skipped").crossJoin(F.broadcast(end)).where(F.col("stop").isNull() | (F.col("parts") <= F.col("stop")))
+    counts = visited.agg(F.count_if(~F.col("skipped")).alias("files_scanned"), F.count_if("skipped").alias("files_skipped"))
+    return end.select("hits", "truncated").crossJoin(counts)
+
+
 def read_ranges(docs: DataFrame, key: str, first: int, last: int, max_bytes: int, text_col: str = "text") -> DataFrame:
     """Lines ``first``..``last`` (1-based, 0 for either end) of each text, whole lines within ``max_bytes``.
 

@@ -43,8 +43,13 @@ def tokens_sql(text: str) -> str:
     return f"flatten(list_transform({words}, lambda w: list_concat([lower(w)], list_transform({parts}, lambda p: lower(p)))))"
 
 
-def thread(spark: SparkSession, root: str) -> DataFrame:
-    """Current messages with clean roles, one per place of a conversation (the smallest id)."""
+def byte_cut_sql(text: str, limit: int) -> str:
+    """DuckDB expression for the longest prefix of whole characters of ``text`` within ``limit`` bytes."""
+    return f"CASE WHEN strlen({text}) <= {limit} THEN {text} ELSE left({text}, list_max(list_filter(range({limit // 4}, {limit + 1}), lambda k: strlen(left({text}, k)) <= {limit}))) END"
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """Current versions of the messages that have a place, with clean roles."""
     rows = read_table(spark, root, "messages").where(F.col("conversation_id").isNotNull() & F.col("seq").isNotNull())
     calls = F.get_json_object("meta", "$.tool_calls")
     rows = rows.select(
@@ -52,8 +57,12 @@ def thread(spark: SparkSession, root: str) -> DataFrame:
         F.coalesce(calls.startswith("[") & ~calls.rlike(r"^\[\s*\]$"), F.lit(False)).alias("calls"),
     )
     fields = ["conversation_id", "seq", "role", "content", "created_at", "meta", "calls"]
-    live = rows.groupBy("id").agg(F.max(F.struct("loaded_at", *fields)).alias("x")).select("id", *(f"x.{c}" for c in fields))
-    one = live.groupBy("conversation_id", "seq").agg(F.min(F.struct("id", "role", "content", "created_at", "meta", "calls")).alias("x"))
+    return rows.groupBy("id").agg(F.max(F.struct("loaded_at", *fields)).alias("x")).select("id", *(f"x.{c}" for c in fields))
+
+
+def thread(spark: SparkSession, root: str) -> DataFrame:
+    """Current messages, one per place of a conversation (the smallest id; ``thread_clashes`` tells the others)."""
+    one = current(spark, root).groupBy("conversation_id", "seq").agg(F.min(F.struct("id", "role", "content", "created_at", "meta", "calls")).alias("x"))
     return one.select("conversation_id", "seq", "x.*")
 
 

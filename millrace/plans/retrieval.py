@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from millrace.functions import vectors as V
-from millrace.operators import index, nearest, search, training
+from millrace.functions import text as T, vectors as V
+from millrace.operators import index, nearest, search, tensors, training
 from millrace.plans.base import CHUNKS_SQL, QUESTIONS_SQL, chunks, questions, tokens_sql
 from millrace.sources import read_table
 
 K = 10
+HEADER, FOOTER = "Sources:\n", "\n[end of sources]\n"
 
 
 def bm25_search(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +38,7 @@ def hashed_embeddings(spark: SparkSession, root: str) -> DataFrame:
 
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
     hits = search.bm25(chunks(spark, root), questions(spark), K).join(chunks(spark, root), "id")
-    return index.pack_context(hits, 6000, "Sources:\n", "\n[end of sources]\n").select("query_id", "n_hits", "bytes")
+    return index.pack_context(hits, 6000, HEADER, FOOTER).select("query_id", "n_hits", "bytes", F.md5("text").alias("digest"))
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
@@ -62,22 +64,30 @@ def hamming_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cascade_search(spark: SparkSession, root: str) -> DataFrame:
-    return nearest.cascade(_rows(spark, root), _asked(spark, root), K, 200, 50).select("query_id", "id", "score", "rank")
+    return nearest.cascade(_rows(spark, root), _asked(spark, root), K).select("query_id", "id", "score", "rank")
 
 
 def cascade_recall(spark: SparkSession, root: str) -> DataFrame:
     rows, asked = _rows(spark, root), _asked(spark, root)
-    return nearest.recall(nearest.cascade(rows, asked, K, 200, 50), nearest.top_k(rows, asked, K)).select("query_id", F.round("recall", 6).alias("recall"))
+    return nearest.recall(nearest.cascade(rows, asked, K), nearest.top_k(rows, asked, K)).select("query_id", F.round("recall", 6).alias("recall"))
 
 
-def cascade_search_bounded(spark: SparkSession, root: str) -> DataFrame:
-    """The staged search whole: no stage drops one of the best ten."""
-    return nearest.cascade_bounded(_rows(spark, root), _asked(spark, root), K).select("query_id", "id", "score", "rank")
+def routing_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """Share of queries whose own label has the mean vector most like them; of equal ones the last."""
+    asked = _asked(spark, root)
+    means = tensors.mean_vectors(_rows(spark, root), "label", "vec").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("axis", "mean"))).alias("m")).select(F.col("label").cast("bigint").alias("id"), F.col("m.mean").alias("vec"))
+    scores = nearest.top_k(means, asked, 1000).select("query_id", F.col("id").alias("idx"), "score")
+    return training.routing_accuracy(scores, asked.select("query_id", F.col("label").cast("bigint").alias("idx"))).select(F.round("accuracy", 6).alias("accuracy"), "n")
 
 
-def cascade_recall_bounded(spark: SparkSession, root: str) -> DataFrame:
-    rows, asked = _rows(spark, root), _asked(spark, root)
-    return nearest.recall(nearest.cascade_bounded(rows, asked, K), nearest.top_k(rows, asked, K)).select("query_id", F.round("recall", 6).alias("recall"))
+def _weights(dim: int = 64, width: int = 8) -> np.ndarray:
+    return np.cos(np.arange(dim * width).reshape(dim, width)) / 8.0
+
+
+def projected_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors sent through a head with given weights, at unit length."""
+    rows = training.project(_rows(spark, root).select("id", "vec"), _weights())
+    return rows.select("id", *(F.round(F.element_at("vec", i), 6).alias(f"v{i}") for i in (1, 4, 8)))
 
 
 def neighbour_accuracy(spark: SparkSession, root: str) -> DataFrame:
@@ -96,9 +106,7 @@ def margin_gate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def label_means(spark: SparkSession, root: str) -> DataFrame:
-    from millrace.operators.tensors import mean_vectors
-
-    means = mean_vectors(_rows(spark, root), "label", "vec")
+    means = tensors.mean_vectors(_rows(spark, root), "label", "vec")
     return means.groupBy("label").agg(F.count("*").alias("dim"), F.round(F.sqrt(F.sum(F.col("mean") * F.col("mean"))), 6).alias("norm"))
 
 
@@ -148,10 +156,8 @@ _EXACT = f"""{_PAIR},
 scored AS (SELECT query_id, id, label, asked_label, round({_DOT}, 6) AS score FROM rows, asked),
 exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
 _HAMMING = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (vec[i] > 0) <> (q[i] > 0) THEN 1 ELSE 0 END))::BIGINT"
-_CASCADE = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM (SELECT query_id, id, vec, q, {_HAMMING} AS distance FROM rows, asked)) WHERE k <= 200),
-rough AS (SELECT *, list_sum(list_transform(range(1, len(vec) + 1), lambda i: round(vec[i]::DOUBLE * 127)::BIGINT * round(q[i]::DOUBLE * 127)::BIGINT)) AS rough FROM near),
-short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, id) AS place FROM rough) WHERE place <= 50),
-staged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round({_DOT}, 6) AS score FROM short)) WHERE rank <= 10)"""
+_TAGS = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in endings.split())}) THEN '{name}'" for name, endings in T.FENCE_TAGS.items()) + " ELSE '' END"
+_FRAME = {"head": "'Sources:' || chr(10)", "foot": "chr(10) || '[end of sources]' || chr(10)"}
 
 ORACLE = {
     "bm25_search": f"WITH {_BM25} SELECT query_id, id, score, rank FROM lexical",
@@ -167,11 +173,22 @@ ORACLE = {
     "knn_batch": f"WITH {_EXACT} SELECT query_id, id, score, rank FROM exact",
     "hamming_topk": f"""WITH {_PAIR} SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
       FROM (SELECT query_id, id, {_HAMMING} AS distance FROM rows, asked)) WHERE rank <= 10""",
-    "cascade_search": f"WITH {_PAIR}, {_CASCADE} SELECT query_id, id, score, rank FROM staged",
-    "cascade_recall": f"""WITH {_EXACT}, {_CASCADE}, last AS (SELECT query_id, min(score) AS last, count(*) AS wanted FROM exact GROUP BY query_id)
-      SELECT query_id, round(least(count(s.id) / wanted, 1.0), 6) AS recall FROM last LEFT JOIN staged s ON s.query_id = last.query_id AND s.score >= last - 1e-5 GROUP BY last.query_id, wanted""".replace("SELECT query_id, round", "SELECT last.query_id AS query_id, round"),
-    "cascade_search_bounded": f"WITH {_EXACT} SELECT query_id, id, score, rank FROM exact",
-    "cascade_recall_bounded": f"WITH {_PAIR} SELECT query_id, 1.0::DOUBLE AS recall FROM asked",
+    "cascade_search": f"WITH {_EXACT} SELECT query_id, id, score, rank FROM exact",
+    "cascade_recall": f"WITH {_PAIR} SELECT query_id, 1.0::DOUBLE AS recall FROM asked",
+    "routing_accuracy": f"""WITH {_PAIR}, x AS (SELECT label, i, avg(vec[i]::DOUBLE) AS m FROM (SELECT label, vec, unnest(range(1, len(vec) + 1)) AS i FROM rows) GROUP BY label, i),
+      m AS (SELECT label, list(m ORDER BY i) AS mean FROM x GROUP BY label),
+      s AS (SELECT query_id, asked_label, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(mean, q::DOUBLE[]), 6) DESC, label DESC) AS k FROM asked, m)
+      SELECT round(avg(CASE WHEN label = asked_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM s WHERE k = 1""",
+    "projected_vectors": """WITH p AS (SELECT vec_id AS id, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * cos(i * 8 + j) / 8.0))) AS v FROM embeddings),
+      n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM p)
+      SELECT id, round(v[1] / size, 6) AS v1, round(v[4] / size, 6) AS v4, round(v[8] / size, 6) AS v8 FROM n""",
+    "context_pack": f"""WITH {_BM25},
+      picked AS (SELECT query_id, rank, path, content, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS ext, repeat('`', greatest(coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda x: length(x))), 0), 2)::INT + 1) AS mark
+        FROM lexical JOIN chunks USING (id) WHERE rank <= 10),
+      entries AS (SELECT query_id, rank, chr(10) || '[' || rank || '] ' || path || chr(10) || mark || {_TAGS} || chr(10) || replace(content, {_FRAME['foot']}, '[end]') || chr(10) || mark || chr(10) AS entry FROM picked),
+      summed AS (SELECT *, sum(strlen(entry)) OVER (PARTITION BY query_id ORDER BY rank) + strlen({_FRAME['head']} || {_FRAME['foot']}) <= 6000 AS fits FROM entries),
+      packed AS (SELECT query_id, sum(CASE WHEN fits THEN 1 ELSE 0 END)::BIGINT AS n_hits, {_FRAME['head']} || coalesce(string_agg(CASE WHEN fits THEN entry END, '' ORDER BY rank), '') || {_FRAME['foot']} AS text FROM summed GROUP BY query_id)
+      SELECT query_id, n_hits, strlen(text) AS bytes, md5(text) AS digest FROM packed""",
     "neighbour_accuracy": f"""WITH {_EXACT}, first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM exact WHERE rank <= 2 AND id <> query_id)
       SELECT round(avg(CASE WHEN label = asked_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM first WHERE k = 1""",
     "margin_gate": f"""WITH {_EXACT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM exact WHERE rank <= 3 AND id <> query_id),
@@ -187,6 +204,5 @@ ORACLE = {
 
 QUERIES = (
     bm25_search, vector_search, hybrid_search, document_frequencies, hashed_embeddings, context_pack, knn_topk, knn_batch, hamming_topk, cascade_search, cascade_recall,
-    cascade_search_bounded, cascade_recall_bounded,
-    neighbour_accuracy, margin_gate, label_means, vector_norms, index_meta_check,
+    routing_accuracy, projected_vectors, neighbour_accuracy, margin_gate, label_means, vector_norms, index_meta_check,
 )

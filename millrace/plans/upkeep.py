@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators import context, index, store
 from millrace.operators.chunking import chunk_files
-from millrace.plans.base import THREAD_SQL, thread
+from millrace.plans.base import THREAD_SQL, byte_cut_sql, current, thread
 from millrace.sources import read_table
 
 
@@ -128,17 +128,27 @@ def upsert_customers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def conversations_ordered(spark: SparkSession, root: str) -> DataFrame:
-    """The hundred conversations last updated, newest first, as the start page lists them."""
-    rows = read_table(spark, root, "conversations").dropDuplicates(["id"])
-    return rows.orderBy(F.col("updated_at").desc(), F.col("id").desc()).select("id", "updated_at").limit(100)
-
-
-def conversations_listed(spark: SparkSession, root: str) -> DataFrame:
     """All conversations, newest first."""
     rows = read_table(spark, root, "conversations").groupBy("id").agg(F.max("updated_at").alias("updated_at"))
     return rows.orderBy(F.col("updated_at").desc(), F.col("id").desc())
 
 
+def messages_ordered(spark: SparkSession, root: str) -> DataFrame:
+    """Messages in the order of their conversations."""
+    return thread(spark, root).select("conversation_id", "seq", "id").orderBy("conversation_id", "seq")
+
+
+def generations_ordered(spark: SparkSession, root: str) -> DataFrame:
+    """Generations in the order in which they were begun."""
+    return read_table(spark, root, "index_generations").select("created_at", "repo_id", "generation").distinct().orderBy("created_at", "repo_id", "generation")
+
+
+def thread_clashes(spark: SparkSession, root: str) -> DataFrame:
+    """Messages that share their place with one of a smaller id, which the other queries over conversations take."""
+    kept = thread(spark, root).select("conversation_id", "seq", F.col("id").alias("kept"))
+    return current(spark, root).join(kept, ["conversation_id", "seq"]).where(F.col("id") != F.col("kept")).select("id", "kept")
+
+
 def last_messages(spark: SparkSession, root: str) -> DataFrame:
     return thread(spark, root).groupBy("conversation_id").agg(F.max_by("id", "seq").alias("id"), F.max("seq").alias("seq"))
 
@@ -256,13 +266,14 @@ _ATTEMPTS = """attempts AS (SELECT DISTINCT concat_ws(':', coalesce(message_id,
   CASE WHEN n <> 3 THEN message_id END AS message_id, n FROM citations)"""
 _HISTORY = "history AS (SELECT * FROM thread WHERE role <> 'system' AND (content <> '' OR calls))"
 _LINES = r"CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') END"
-_CITED = rf"""files AS (SELECT repo_id, path, max(text) AS text FROM source_files WHERE path IS NOT NULL GROUP BY 1, 2),
+_CITED = rf"""files AS (SELECT DISTINCT repo_id, path, text FROM source_files WHERE path IS NOT NULL),
 cited AS (SELECT DISTINCT * FROM citations WHERE path IS NOT NULL),
 body AS (SELECT c.*, f.path IS NOT NULL AS there, f.text, {_LINES} AS ls FROM cited c LEFT JOIN files f ON f.repo_id = c.repo_id AND f.path = c.path),
 seen AS (SELECT *, coalesce(start_line < 1 OR end_line < start_line OR end_line > len(ls), true) AS outside, array_to_string(ls[start_line:end_line], chr(10)) AS span FROM body),
-checked AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN text IS NULL OR outside THEN 'file_changed'
-    WHEN coalesce(sha256(encode(path) || '\x00'::BLOB || encode(start_line::VARCHAR) || '\x00'::BLOB || encode(CASE WHEN strlen(span) <= 2400 THEN span ELSE '' END)) = digest_hex, false) THEN 'verified'
-    ELSE 'file_changed' END AS status FROM seen)"""
+judged AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN text IS NULL OR outside THEN 'file_changed'
+    WHEN coalesce(sha256(encode(path) || '\x00'::BLOB || encode(start_line::VARCHAR) || '\x00'::BLOB || encode({byte_cut_sql('span', 2400)})) = digest_hex, false) THEN 'verified'
+    ELSE 'file_changed' END AS status FROM seen),
+checked AS (SELECT message_id, n, repo_id, path, start_line, end_line, digest_hex, chunk_id, max(status) AS status FROM judged GROUP BY ALL)"""
 
 ORACLE = {
     "changed_files": f"""WITH {_NOW}, {_THEN} SELECT * FROM (SELECT coalesce(n.repo_id, m.repo_id) AS repo_id, coalesce(n.path, m.path) AS path,
@@ -290,7 +301,8 @@ ORACLE = {
     "citation_status": f"WITH {_CITED} SELECT repo_id, status, count(*) AS n FROM checked GROUP BY 1, 2",
     "orphan_check": """SELECT 'messages_without_conversation' AS problem, count(*) AS n FROM messages WHERE conversation_id IS NOT NULL AND conversation_id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL)
       UNION ALL SELECT 'citations_without_message', count(*) FROM citations WHERE message_id IS NOT NULL AND message_id NOT IN (SELECT id FROM messages WHERE id IS NOT NULL)
-      UNION ALL SELECT 'reports_without_generation', count(*) FROM index_reports WHERE repo_id IS NOT NULL AND repo_id NOT IN (SELECT repo_id FROM index_generations WHERE repo_id IS NOT NULL)""",
+      UNION ALL SELECT 'reports_without_generation', count(*) FROM index_reports r WHERE r.repo_id IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM index_generations g WHERE g.repo_id = r.repo_id AND (r.generation IS NULL OR g.generation = r.generation))""",
     "integrity_check": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS rows, count(*) - count({k}) AS null_keys, (SELECT count(*) FROM (SELECT {k} FROM {t} WHERE {k} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM {t}"
         for t, k in {"documents": "doc_id", "source_files": "file_id", "conversations": "id", "messages": "id", "orders": "o_orderkey", "events": "event_id"}.items()
@@ -298,8 +310,10 @@ ORACLE = {
     "latest_messages": """SELECT id, conversation_id, seq, md5(coalesce(content, '')) AS content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS k FROM messages) WHERE k = 1""",
     "upsert_customers": """SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 7 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS c_acctbal FROM customer
       UNION ALL SELECT max(c_custkey) + 1, 1, 0.0 FROM customer""",
-    "conversations_ordered": "SELECT DISTINCT id, updated_at FROM conversations ORDER BY updated_at DESC, id DESC LIMIT 100",
-    "conversations_listed": "SELECT id, max(updated_at) AS updated_at FROM conversations GROUP BY id ORDER BY updated_at DESC, id DESC",
+    "conversations_ordered": "SELECT id, max(updated_at) AS updated_at FROM conversations GROUP BY id ORDER BY updated_at DESC, id DESC",
+    "messages_ordered": f"WITH {THREAD_SQL} SELECT conversation_id, seq, id FROM thread ORDER BY conversation_id, seq",
+    "generations_ordered": "SELECT DISTINCT created_at, repo_id, generation FROM index_generations ORDER BY created_at, repo_id, generation",
+    "thread_clashes": f"WITH {THREAD_SQL} SELECT l.id, t.id AS kept FROM live l JOIN thread t ON t.conversation_id = l.conversation_id AND t.seq = l.seq WHERE l.id <> t.id",
     "last_messages": f"WITH {THREAD_SQL} SELECT conversation_id, max_by(id, seq) AS id, max(seq) AS seq FROM thread GROUP BY 1",
     "next_sequence": f"WITH {THREAD_SQL} SELECT conversation_id, max(seq) + 1 AS next_seq FROM thread GROUP BY 1",
     "truncate_after": f"""WITH {THREAD_SQL}, {_ATTEMPTS}, kept AS (SELECT * FROM thread WHERE seq <= 4),
@@ -341,6 +355,6 @@ ORACLE = {
 
 QUERIES = (
     changed_files, unchanged_repos, latest_generations, prune_generations, next_generations, lru_evict, cache_hits, report_totals, skip_histogram, latency_percentiles, citation_verify,
-    citation_status, cited_chunks, orphan_check, integrity_check, latest_messages, upsert_customers, conversations_ordered, conversations_listed, last_messages, next_sequence, truncate_after, regenerate_branch,
+    citation_status, cited_chunks, orphan_check, integrity_check, latest_messages, upsert_customers, conversations_ordered, messages_ordered, generations_ordered, thread_clashes, last_messages, next_sequence, truncate_after, regenerate_branch,
     cascade_delete, multiget_ordered, append_messages, context_slice, history_filter, merge_roles, context_budget, conversation_titles, tool_rounds, repairs_used, finish_reasons, generation_rates,
 )

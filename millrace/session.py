@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "millra
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -23,12 +25,19 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "millra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one is made only where none is set (tests)."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a session whose executors are all on this machine gets a
+    folder of its own (tests); on a cluster that would be a different disk for
+    every executor, and so it is an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -11,19 +11,26 @@ RUST = "use std::fmt;\nuse std::io;\n\n/// Adds.\n#[inline]\npub fn add(a: u8) -
 
 
 def test_plain_windows():
-    got = [(s.start + 1, s.stop) for s in C.spans("other", [f"note {i}" for i in range(181)])]
-    assert got == [(1, 60), (61, 120), (121, 178), (179, 181)]
+    """Full windows, and a last one of fewer than three lines takes from the one before."""
+    for n, want in [(60, [(1, 60)]), (61, [(1, 58), (59, 61)]), (122, [(1, 60), (61, 119), (120, 122)]), (123, [(1, 60), (61, 120), (121, 123)])]:
+        assert [(s.start + 1, s.stop) for s in C.spans("other", [f"entry {i}" for i in range(n)])] == want
 
 
-def test_byte_cap_and_giant_line():
-    assert C.spans("other", ["x" * 100] * 100)[0].stop == 23
-    chunks = C.chunk_text("a.txt", "x" * 2399 + "é")
-    assert len(chunks) == 1 and len(chunks[0][3].encode()) == 2399
+@pytest.mark.parametrize("width", [79, 239, 599])
+def test_byte_cap(width):
+    """As many lines as fit with their line ends between them."""
+    assert C.spans("other", ["-" * width] * 200)[0].stop == min(60, 2401 // (width + 1))
 
 
-def test_markdown():
-    text = "# Title\nintro\nmore\n## Setup\n```sh\n# not a heading\n```\n## Usage\nrun\nit\n"
-    assert [c[4] for c in C.chunk_text("a.md", text)] == ["Title", "Setup", "Usage"]
+def test_long_line_is_cut_at_a_character():
+    for text in ("é" * 1500, "z" + "é" * 1500, "日" * 900):
+        (chunk,) = C.chunk_text("a.txt", text)
+        assert text.startswith(chunk[3]) and 2400 - 2 <= len(chunk[3].encode()) <= 2400
+
+
+def test_headings_in_code_are_none():
+    text = "# Guide\nsome words\nand more\n\n~~~python\n# comment\nx = 1\n~~~\n\n### Notes\nfirst\nsecond\n# End\nlast\nlines\n"
+    assert [c[4] for c in C.chunk_text("guide.md", text)] == ["Guide", "Notes", "End"]
 
 
 def test_attached_comments_and_symbols():

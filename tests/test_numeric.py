@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import sampling, tensors, training
+from millrace.operators import encoder, sampling, tensors, training
 
 
 def logits(spark, values, group=0):
@@ -62,10 +62,10 @@ def test_sample_chain_and_statistics(spark):
 
 def test_dequantize(spark):
     row = spark.createDataFrame([([0x76543210, 0xFEDCBA98], [2.0], [-1.0])], "w array<long>, s array<double>, b array<double>")
-    got = row.select(tensors.dequantize(F.col("w"), F.col("s"), F.col("b"), 16).alias("x"), tensors.layout_error(F.col("w"), F.col("s"), 4, 16).alias("e")).first()
+    got = row.select(tensors.dequantize(F.col("w"), F.col("s"), F.col("b"), 16).alias("x"), tensors.layout_error(F.size("w"), F.size("s"), 4, 16).alias("e")).first()
     assert got.x == [2.0 * q - 1 for q in range(16)] and got.e is None
-    bad = lambda bits, group: row.select(tensors.layout_error(F.col("w"), F.col("s"), bits, group).alias("e")).first().e
-    assert bad(8, 16) == "bits" and bad(4, 0) == "group_size" and bad(4, 8) == "columns"
+    bad = lambda bits, group, words=2: row.select(tensors.layout_error(F.lit(words), F.size("s"), bits, group).alias("e")).first().e
+    assert bad(8, 16) == "bits" and bad(4, 0) == "group_size" and bad(4, 8) == "columns" and bad(4, 16, 2**61) == "overflow"
     stats = tensors.scale_stats(spark.createDataFrame([(1, [0.0, 2.0, float("nan"), float("-inf")]), (2, [float("nan")])], "k int, s array<double>"), "k", "s")
     assert {tuple(r) for r in stats.collect()} == {(1, 2, 1, 0.0, 2.0), (2, 1, 0, 0.0, 0.0)}
 
@@ -105,23 +105,137 @@ def test_tensor_catalog(spark):
     assert catalog.count() == 5 and {r.path for r in tensors.first_shard(catalog).collect()} == {"a.st"}
 
 
-@pytest.mark.parametrize("seed", [42, 7, 9])
-def test_gradient(seed):
-    rng = np.random.default_rng(seed)
-    phrases, actions, weights, owner = rng.normal(size=(5, 5)), rng.normal(size=(3, 5)), rng.normal(size=(5, 4)), np.array([0, 1, 2, 1, 0])
-    _, grad = training.loss_and_gradient(weights, phrases, actions, owner, 0.1)
-    number = np.zeros_like(weights)
-    for i in np.ndindex(*weights.shape):
-        step = np.zeros_like(weights)
-        step[i] = 1e-5
-        number[i] = (training.loss_and_gradient(weights + step, phrases, actions, owner, 0.1)[0] - training.loss_and_gradient(weights - step, phrases, actions, owner, 0.1)[0]) / 2e-5
-    assert np.abs(grad - number).max() / np.abs(number).max() < 1e-2
-
-
-def test_training_halves_loss():
+@pytest.mark.parametrize(("n", "m"), [(3, 3), (3, 5), (1, 4)])
+def test_gradients(n, m):
+    """Both gradients against differences of the loss, and the loss against the two cross entropies written out."""
+    rng = np.random.default_rng(10 * n + m)
+    states, actions, ws, wa = rng.normal(size=(n, 6)), rng.normal(size=(m, 6)), rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    loss, by_state, by_action = training.loss_and_gradients(ws, wa, states, actions, 0.3)
+    z = (states @ ws) @ (actions @ wa).T / 0.3
+    rows = [math.log(sum(math.exp(v) for v in z[i])) - z[i, i] for i in range(n)]
+    cols = [math.log(sum(math.exp(v) for v in z[:, j])) - z[j, j] for j in range(n)]
+    assert loss == pytest.approx((sum(rows) + sum(cols)) / (2 * n))
+    for which, grad in enumerate((by_state, by_action)):
+        for i in np.ndindex(6, 4):
+            step = np.zeros((6, 4))
+            step[i] = 1e-6
+            up, down = (training.loss_and_gradients(ws + s * step * (which == 0), wa + s * step * (which == 1), states, actions, 0.3)[0] for s in (1, -1))
+            assert grad[i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_training_halves_loss(tmp_path, spark):
     rng = np.random.default_rng(3)
-    actions = rng.normal(size=(6, 16))
-    owner = np.arange(6)
-    phrases = actions + 1.5 * rng.normal(size=(6, 16))
-    _, losses = training.fit_head(phrases, actions, owner, 8)
+    actions = rng.normal(size=(9, 16))
+    states = actions[:6] + 0.5 * rng.normal(size=(6, 16))
+    actions, states = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (actions, states))
+    head, losses = training.fit_head(states, actions, 8)
     assert losses[-1] < losses[0] / 2
+    head.save(f"{tmp_path}/head.json")
+    back = training.Head.load(f"{tmp_path}/head.json")
+    assert (back.state == head.state).all() and (back.action == head.action).all() and back.temperature == head.temperature
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(states)] + [(99, [0.0] * 16), (100, [1.0])], "id long, vec array<double>")
+    made = {r.id: np.array(r.vec) for r in training.project(rows, head.state).collect()}
+    want = states @ head.state
+    assert set(made) == {*range(6), 99} and not made[99].any() and np.allclose([made[i] for i in range(6)], want / np.linalg.norm(want, axis=1, keepdims=True))
+
+
+def test_normal_numbers():
+    numbers = training.normal_numbers(42, 4000)
+    assert abs(numbers.mean()) < 0.06 and abs(numbers.std() - 1) < 0.04 and (numbers == training.normal_numbers(43, 4000)).all() and not (numbers == training.normal_numbers(44, 4000)).all()
+    x = 43
+    x ^= x << 13 & (1 << 64) - 1
+    x ^= x >> 7
+    x ^= x << 17 & (1 << 64) - 1
+    first = (x >> 11) / 2.0**53
+    x ^= x << 13 & (1 << 64) - 1
+    x ^= x >> 7
+    x ^= x << 17 & (1 << 64) - 1
+    assert numbers[0] == pytest.approx(math.sqrt(-2 * math.log(first + 1e-7)) * math.cos(2 * math.pi * (x >> 11) / 2.0**53), rel=1e-4)
+
+
+def test_last_of_equal_scores(spark):
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 3, 0.5), (2, 1, 0.9), (2, 2, 0.1)], "query_id int, idx int, score double")
+    truth = spark.createDataFrame([(1, 3), (2, 2)], "query_id int, idx int")
+    assert training.routing_accuracy(scores, truth).first() == (0.5, 2)
+
+
+def test_softmax_refusals(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(1, 0, nan), (1, 1, 2.0), (2, 0, inf), (3, 0, -inf), (3, 1, -inf), (4, 0, 1.0), (4, 1, -inf)], "group_id int, idx int, value double")
+    assert {(r.group_id, r.error) for r in sampling.check_softmax(rows, 1.0, 1.0).collect()} == {(1, "nan"), (2, "degenerate"), (3, "degenerate")}
+    assert {r.error for r in sampling.check_softmax(rows, 0.0, 2.0).collect()} == {"temperature"} and {r.error for r in sampling.check_softmax(rows, 1.0, 0.0).collect()} == {"top_p"}
+    assert [(r.group_id, r.idx, r.p) for r in sampling.softmax_top_p(rows, 1.0, 1.0).collect()] == [(4, 0, 1.0)]
+
+
+def test_recent_window(spark):
+    drawn = spark.createDataFrame([(1, t, t % 3) for t in range(10)] + [(2, 0, 5)], "group_id int, at int, idx int")
+    assert sorted((r.group_id, r.idx) for r in sampling.recent_window(drawn, 4).collect()) == [(1, 0), (1, 0), (1, 1), (1, 2), (2, 5)]
+
+
+def test_tensor_values(spark):
+    body = np.array([1.5, -2.0], "<f4").tobytes() + np.array([0x3FC0, 0xC000], "<u2").tobytes() + np.array([1, 0], "u1").tobytes()
+    raw = safetensors({"a": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}, "b": {"dtype": "BF16", "shape": [1, 2], "data_offsets": [8, 12]}, "c": {"dtype": "BOOL", "shape": [2], "data_offsets": [12, 14]}}, body)
+    files = spark.createDataFrame([("m.st", bytearray(raw))], "path string, content binary")
+    wanted = spark.createDataFrame([("a", "F32", [2]), ("b", None, None), ("c", "BOOL", None), ("a2", None, None), ("b", "F32", None), ("a", "F32", [1, 2])], "name string, dtype string, shape array<long>")
+    got = sorted(((r.name, r.error, r.values) for r in tensors.read_tensors(files, wanted).collect()), key=str)
+    assert got == sorted([("a", None, [1.5, -2.0]), ("a", "shape", None), ("a2", "missing", None), ("b", None, [1.5, -2.0]), ("b", "dtype", None), ("c", None, [1.0, 0.0])], key=str)
+    assert tensors.weight_bytes(tensors.tensor_catalog(files), "b").first() == (4, 1)
+    bits = spark.createDataFrame([(0x3FC0,), (0xC000,), (0x0001,), (0x7F80,), (0x8000,)], "b int").select(tensors.bf16_value(F.col("b")).alias("x")).collect()
+    assert [r.x for r in bits] == [1.5, -2.0, 2.0**-133, float("inf"), 0.0]
+
+
+def test_products(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(7, 90)), rng.normal(size=(90, 5))
+    a[rng.random(a.shape) < 0.7] = 0
+    long = lambda m, names: spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m) if v], f"{names[0]} long, {names[1]} long, v double")
+    got = np.zeros((7, 5))
+    for r in tensors.multiply(long(a, "ik"), long(b, "kj"), 4).collect():
+        got[r.i, r.j] = r.v
+    assert np.allclose(got, a @ b)
+    rows = spark.createDataFrame([(x.tolist(),) for x in b] + [(None,)], "v array<double>").repartition(3)
+    assert np.allclose([r.v for r in tensors.gram(rows, "v").orderBy("i", "j").collect()], (b.T @ b).ravel())
+
+
+def test_encoder_block_against_loops(spark):
+    rng = np.random.default_rng(8)
+    width, heads, inner, n = 8, 2, 6, 5
+    draw = lambda *shape: rng.normal(size=shape) / 3
+    layer = encoder.Layer(draw(3 * width, width), draw(width, width), (draw(width), draw(width)), draw(inner, width), draw(inner, width), draw(width, inner), (draw(width), draw(width)))
+    start, x = (draw(width), draw(width)), rng.normal(size=(n, width))
+
+    def norm(row, scale, shift):
+        mean = sum(row) / width
+        spread = math.sqrt(sum((v - mean) ** 2 for v in row) / width + 1e-12)
+        return [(v - mean) / spread * scale[i] + shift[i] for i, v in enumerate(row)]
+
+    def turn(row, place):
+        half = len(row) // 2
+        out = list(row)
+        for i in range(half):
+            angle = place / 10000.0 ** (2 * i / len(row))
+            out[i], out[i + half] = row[i] * math.cos(angle) - row[i + half] * math.sin(angle), row[i] * math.sin(angle) + row[i + half] * math.cos(angle)
+        return out
+
+    rows = [norm(r, *start) for r in x]
+    made = [[sum(w * v for w, v in zip(line, r)) for line in layer.qkv] for r in rows]
+    size, mixed = width // heads, []
+    for t in range(n):
+        whole = []
+        for h in range(heads):
+            part = lambda r, k, h=h: r[k * width + h * size : k * width + (h + 1) * size]
+            q = turn(part(made[t], 0), t)
+            scores = [math.exp(sum(a * b for a, b in zip(q, turn(part(made[s], 1), s))) / math.sqrt(size)) for s in range(n)]
+            whole += [sum(w * part(made[s], 2)[d] for s, w in enumerate(scores)) / sum(scores) for d in range(size)]
+        mixed.append([sum(w * v for w, v in zip(line, whole)) for line in layer.mix])
+    rows = [norm([a + b for a, b in zip(r, m)], *layer.norm_one) for r, m in zip(rows, mixed)]
+    out = []
+    for r in rows:
+        gate = [sum(w * v for w, v in zip(line, r)) for line in layer.gate]
+        value = [sum(w * v for w, v in zip(line, r)) * g / (1 + math.exp(-g)) for line, g in zip(layer.value, gate)]
+        out.append(norm([a + sum(w * v for w, v in zip(line, value)) for a, line in zip(r, layer.out)], *layer.norm_two))
+    mean = [sum(r[i] for r in out) / n for i in range(width)]
+    length = math.sqrt(sum(v * v for v in mean))
+    table = spark.createDataFrame([(1, x.tolist()), (2, [])], "id long, vectors array<array<double>>")
+    got = encoder.encode_sequences(table, [layer], heads, start).collect()
+    assert len(got) == 1 and got[0].vec == pytest.approx([v / length for v in mean])

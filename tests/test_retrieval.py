@@ -1,12 +1,16 @@
 """Scoring, vectors and fusion against hand-made and brute-force values."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import vectors as V
-from millrace.operators import nearest, search
+from millrace.functions import text as T, vectors as V
+from millrace.functions.hashing import fnv1a64
+from millrace.operators import analysis, nearest, search
 
 
 def chunks(spark, rows):
@@ -46,33 +50,69 @@ def vectors(spark, matrix, key):
     return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(matrix)], f"{key} long, vec array<float>")
 
 
-def test_exact_search_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("query_block", [3, 4096])
+def test_exact_search_matches_brute_force(spark, monkeypatch, query_block):
+    """Queries that every task holds, and blocks of queries against blocks of rows."""
     monkeypatch.setattr(nearest, "ROW_BLOCK", 40)
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(1)
     points = np.round(rng.normal(size=(150, 8)), 2).astype(np.float32)
     points[7] = points[3]
-    rows, asked = vectors(spark, points, "id"), vectors(spark, points[:8], "query_id")
+    rows, asked = vectors(spark, points, "id").repartition(5), vectors(spark, points[:8], "query_id")
     got = {}
-    for r in nearest.top_k(rows, asked, 5).collect():
+    for r in nearest.top_k(rows, asked, 5, query_block=query_block).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id))
     scores = np.round(points[:8].astype(float) @ points.astype(float).T, 6)
     for q in range(8):
         assert [i for _, i in sorted(got[q])] == sorted(range(150), key=lambda i: (-scores[q][i], i))[:5]
 
 
-def test_bounded_cascade_finds_all(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "ROW_BLOCK", 400)
+def test_hamming_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 70)).astype(np.float32)
+    rows, asked = vectors(spark, points, "id"), vectors(spark, points[:5], "query_id")
+    got = {(r.query_id, r.rank): (r.distance, r.id) for r in nearest.hamming_top(rows, asked, 20).collect()}
+    for q in range(5):
+        far = ((points > 0) != (points[q] > 0)).sum(axis=1)
+        assert [got[q, k + 1] for k in range(20)] == sorted((int(d), i) for i, d in enumerate(far))[:20]
+
+
+@pytest.mark.parametrize("size", [3, 1500])
+def test_staged_search_finds_all(spark, size):
     rng = np.random.default_rng(2)
     points = rng.normal(size=(1500, 64)).astype(np.float32)
+    points[200:400] = points[0] + 0.1 * points[200:400]
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     points[9] = points[4]
-    rows, asked = vectors(spark, points, "id"), vectors(spark, points[:20], "query_id")
+    rows, asked = vectors(spark, points[:size], "id"), vectors(spark, points[:20], "query_id")
     exact = nearest.top_k(rows, asked, 10)
     wanted = sorted(map(tuple, exact.select("query_id", "id", "score", "rank").collect()))
-    assert sorted(map(tuple, nearest.cascade_bounded(rows, asked, 10).select("query_id", "id", "score", "rank").collect())) == wanted
-    assert min(r.recall for r in nearest.recall(nearest.cascade(rows, asked, 10, 200, 50), exact).collect()) < 0.9
-    assert nearest.cascade_bounded(rows.limit(3), asked, 10).where("query_id = 0").count() == 3
+    assert sorted(map(tuple, nearest.cascade(rows, asked, 10).select("query_id", "id", "score", "rank").collect())) == wanted and len(wanted) == 20 * min(size, 10)
+    assert min(r.recall for r in nearest.recall(nearest.cascade(rows, asked, 10), exact).collect()) == 1.0
+
+
+def test_many_terms_and_few_give_the_same(spark):
+    table = chunks(spark, [(i, f"src/f{i}.py", " ".join(["alpha beta gammaRay"[i % 3 :], "delta_x " * (i % 5)]), "deltaX") for i in range(40)])
+    asked = spark.createDataFrame([(1, "alpha delta_x"), (2, "gammaRay beta")], "query_id int, text string")
+    few, many = (sorted(map(tuple, search.bm25(table, asked, 10, few=n).select("query_id", "id", "score", "rank").collect())) for n in (100, 0))
+    assert few == many and few
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet=st.sampled_from("aB_Ç1é日ßX -.\n"), max_size=60))
+def test_both_tokenizers_agree(spark, text):
+    """The column form and the Arrow form of the tokenizer are twins."""
+    row = spark.createDataFrame([(text,)], "t string").select(T.tokens(F.col("t")).alias("x")).first()
+    assert Counter(row.x) == analysis.count_terms(text)
+
+
+def test_embeddings_of_both_forms(spark):
+    text = "readConfig reads the config of the config reader"
+    counts = analysis.count_terms(text)
+    vec = analysis.embed_counts(counts, 256)
+    got = {r.axis: r.weight for r in search.hashed_embedding(spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, text string"), "k", "text").collect()}
+    assert got == {i: x for i, x in enumerate(vec) if x} and abs(sum(x * x for x in got.values()) - 1) < 1e-12
+    axes = {t: spark.range(1).select((fnv1a64(F.lit(t)) % 256).cast("int").alias("a")).first().a for t in counts}
+    assert {a for a in axes.values()} == set(got)
 
 
 def test_search_edges(spark):

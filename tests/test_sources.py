@@ -14,10 +14,78 @@ def test_read_folder(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
     (tmp_path / ".git").mkdir()
-    for name, raw in {"src/a.py": b"x = 1\n", "id_rsa.pub": b"A=1", "bin.dat": b"ab\0c", "bad.txt": b"\xff\xfe\xfd", "node_modules/x.js": b"x", ".git/config": b"x", "big.txt": b"x" * (512 * 1024 + 1)}.items():
+    for name, raw in {"src/a.py": b"x = 1\n", "id_rsa.pub": b"A=1", "bin.dat": b"ab\0c", "bad.txt": b"\xff\xfe\xfd", "node_modules/x.js": b"x", ".git/config": b"x", "big.txt": b"x" * (512 * 1024 + 1), "src/__init__.py": b""}.items():
         (tmp_path / name).write_bytes(raw)
     rows = {r.path: (r.skip_reason, r.text) for r in S.read_folder(spark, str(tmp_path)).collect()}
-    assert rows == {"src/a.py": (None, "x = 1\n"), "id_rsa.pub": ("secret", None), "bin.dat": ("binary", None), "bad.txt": ("invalid_utf8", None), "big.txt": ("too_large", None)}
+    assert rows == {"src/a.py": (None, "x = 1\n"), "src/__init__.py": (None, ""), "id_rsa.pub": ("secret", None), "bin.dat": ("binary", None), "bad.txt": ("invalid_utf8", None), "big.txt": ("too_large", None)}
+
+
+def test_ignore_files_and_links(spark, tmp_path):
+    for name in ("docs/deep", "logs", "src/gen"):
+        (tmp_path / name).mkdir(parents=True)
+    lines = {
+        "": "*.log\n/logs/\n# a comment\n!keep.log\n\ndocs/**/draft-?.md\n\\#odd\n", "src/": "gen/\n!gen/kept.py\n*.tmp\n", "docs/deep/": "!draft-1.md\n",
+    }
+    for folder, text in lines.items():
+        (tmp_path / f"{folder}.gitignore").write_text(text)
+    for name in ("a.log", "keep.log", "logs/x.py", "docs/draft-1.md", "docs/deep/draft-1.md", "docs/deep/draft-2.md", "docs/draft-10.md", "src/gen/kept.py", "src/a.tmp", "a.tmp", "#odd", "src/logs"):
+        (tmp_path / name).write_text("x = 1\n")
+    outside = tmp_path.parent / f"{tmp_path.name}-other.py"
+    outside.write_text("y = 2\n")
+    (tmp_path / "link.py").symlink_to(outside)
+    rows = {r.path: r.skip_reason for r in S.read_folder(spark, str(tmp_path)).collect()}
+    assert rows == {"keep.log": None, "docs/deep/draft-1.md": None, "docs/draft-10.md": None, "a.tmp": None, "src/logs": None, "link.py": "symlink"}
+
+
+def test_generations_in_a_folder(spark, tmp_path):
+    from millrace.sources import generations as G
+
+    folder = str(tmp_path / "g")
+    assert G.current_generation(spark, folder) is None
+    for n in (1, 2, 3):
+        G.write_generation(spark.createDataFrame([(n, [0.5])], "id long, vec array<float>"), folder, n)
+    assert G.current_generation(spark, folder) == 3 and G.read_generation(spark, folder).first().id == 3 and G.read_generation(spark, folder, 1).first().id == 1
+    assert G.drop_generations(spark, folder, {2}) == [1] and G.read_generation(spark, folder, 2).first().id == 2
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    from millrace.sources import schemas
+
+    steps = [lambda t: t.withColumn("b", t["a"] + 1), lambda t: t.drop("a")]
+    schemas.write_versioned(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "t"), 0)
+    assert schemas.read_versioned(spark, str(tmp_path / "t"), steps).first().asDict() == {"b": 2}
+    assert schemas.migrate(spark.createDataFrame([(1, 5)], "a int, b int"), 1, steps).first().asDict() == {"b": 5}
+    with pytest.raises(ValueError):
+        schemas.migrate(spark.range(1), 3, steps)
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from millrace.sources import reports
+
+    rows = spark.createDataFrame([(1, "é", None)], "a int, b string, c string")
+    reports.write_lines(rows, str(tmp_path / "lines"))
+    assert json.loads(spark.read.text(str(tmp_path / "lines")).first()[0]) == {"a": 1, "b": "é", "c": None}
+    assert reports.write_report(rows, str(tmp_path / "r.json"), name="x") == 1
+    assert json.load(open(tmp_path / "r.json", encoding="utf-8"))["name"] == "x"
+
+
+def test_checkpoint_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from millrace import session
+
+    folder = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder)), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))
+
+
+def test_command_line(capsys):
+    from millrace.__main__ import main
+
+    assert main([]) == 0 and "hybrid_search" in capsys.readouterr().out and main(["nonsense"]) == 2
 
 
 def test_index_file(spark, tmp_path):

@@ -89,7 +89,7 @@ def test_hits_on_long_lines(spark, tmp_path):
     rows = [(1, "a", "\n".join(f"restart{x}\nother{x}\n{x}restart" for x in pads)), (2, None, "z" * 450 + "restart"), (3, "c", None), (4, "d", "nothing")]
     spark.createDataFrame(rows, "doc_id long, path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = [(d, p, n, line.encode()[:400].decode("utf-8", "ignore")) for d, p, t in rows if t for n, line in enumerate(t.split("\n"), 1) if "restart" in line]
-    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in texts.substring_hits(spark, str(tmp_path)).collect())
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in texts.substring_search(spark, str(tmp_path)).collect())
     assert any(len(w[3].encode()) == 400 for w in wanted) and len(wanted) == 2 * len(pads) + 1
 
 
@@ -97,3 +97,33 @@ def test_list_folder(spark):
     files = spark.createDataFrame([("r", "a/x.py"), ("r", "a/y.py"), ("r", "a/b/z.py"), ("r", "a/.env"), ("r", None)], "repo_id string, path string")
     rows = {(r.folder, r.name, r.is_folder, r.truncated) for r in textual.list_folder(files, 2).collect()}
     assert rows == {("", "a", True, False), ("a", "b", True, True), ("a", "x.py", False, True), ("a/b", "z.py", False, False)}
+
+
+def test_cuts_and_captures(spark):
+    texts = ["", "short", "é" * 40, "x" + "é" * 40, "日" * 30, "𝄞" * 20, "a" * 64, "a" * 65]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.capped(F.col("t"), 32).alias("c"), T.captured(F.col("t"), 32).alias("x")).collect()
+    for r in rows:
+        raw = r.t.encode()
+        cut = 32
+        while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+            cut += 1
+        assert r.c == (r.t if len(raw) <= 32 else raw[:cut].decode() + f"\n…[truncated {len(raw) - cut} bytes]")
+        lost = max(len(raw) - 32, 0)
+        assert r.x.dropped == lost and bytes(r.x.bytes) == (raw if not lost else raw[:16] + f"\n…[truncated {lost} bytes]…\n".encode() + raw[-16:])
+
+
+def test_hidden_names(spark):
+    names = {"src/a.py": False, ".git/config": True, "a/target/x": True, "a/targets/x": False, ".env.local": True, "k/ID_RSA.pub": True, "x.PEM": True, "db.sqlite": True, "my-credentials.txt": True, "notes/top-secret/a": True, "monkey": False, "a.key/b": True}
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select("p", T.is_hidden_from_tools(F.col("p")).alias("h")).collect()
+    assert {r.p: r.h for r in rows} == names
+
+
+def test_common_prefix(spark):
+    from millrace.functions import arrays
+
+    cases = [([1, 2, 3], [1, 2, 4], 2), ([], [1], 0), ([1], [1], 1), ([1, 2], [1], 1), ([5], [6], 0), ([1, None], [1, None, 2], 2)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a array<int>, b array<int>").select("i", arrays.common_prefix(F.col("a"), F.col("b")).alias("n"), arrays.prefix_reuse(F.col("a"), F.col("b"), 2).alias("x")).collect()
+    assert {r.i: r.n for r in rows} == {i: n for i, (_, _, n) in enumerate(cases)}
+    assert {r.i: tuple(r.x) for r in rows} == {0: (2, 1, 1), 1: (0, 1, 1), 2: (0, 1, 1), 3: (0, 1, 1), 4: (0, 1, 1), 5: (2, 1, 1)}
+    assert spark.range(1).select(arrays.control_count(F.array(F.lit(2), F.lit(999), F.lit(1000))).alias("n")).first().n == 2
+

@@ -78,7 +78,7 @@ def test_all_conversations_are_listed(spark, tmp_path):
 
     rows = [(f"c{i:03}", i * 7 % 50) for i in range(230)]
     spark.createDataFrame([*rows, rows[3]], "id string, updated_at long").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = [(r.id, r.updated_at) for r in upkeep.conversations_listed(spark, str(tmp_path)).collect()]
+    got = [(r.id, r.updated_at) for r in upkeep.conversations_ordered(spark, str(tmp_path)).collect()]
     assert got == sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
 
 
@@ -127,3 +127,131 @@ def test_deltas(spark):
     rows = spark.createDataFrame([("s", 0, "a"), ("s", 10, "b"), ("s", 45, "c"), ("s", 50, "d"), ("s", 100, "e"), ("t", 5, "x")], "stream_id string, at_ms long, piece string")
     got = [(r.stream_id, r.text) for r in context.coalesce_deltas(rows).orderBy("stream_id", "flush").collect()]
     assert got == [("s", "abc"), ("s", "de"), ("t", "x")]
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_blocks_change_nothing(spark, block):
+    """Merging and budgets over random chats, cut into blocks of any size, against a plain loop."""
+    import random
+
+    rng = random.Random(5)
+    chats = {f"c{n}": [(rng.choice(["user", "assistant", "assistant", "tool"]), rng.random() < 0.2, rng.randint(1, 9)) for _ in range(rng.randint(1, 14))] for n in range(60)}
+    rows = [(f"{c}-{i}", c, 2 * i + 1, r, f"t{i}", call and r == "assistant", n) for c, chat in chats.items() for i, (r, call, n) in enumerate(chat)]
+    table = spark.createDataFrame(rows, "id string, conversation_id string, seq long, role string, content string, calls boolean, tokens long")
+    want, fits = set(), {}
+    for c, chat in chats.items():
+        islands = []
+        for i, (role, call, _) in enumerate(chat):
+            call = call and role == "assistant"
+            if islands and islands[-1][1] == role and role != "tool" and not call and not islands[-1][3]:
+                islands[-1][2] += 1
+            else:
+                islands.append([2 * i + 1, role, 1, call])
+        want |= {(c, seq, role, n) for seq, role, n, _ in islands}
+        users = [i for i, x in enumerate(chat) if x[0] == "user"]
+        units, fixed = {}, None
+        for i, (role, _, n) in enumerate(chat):
+            if not users:
+                key, fixed = 0, 0
+            elif i < users[-1]:
+                key = max((u for u in users if u <= i), default=-1)
+            else:
+                key, fixed = max([users[-1]] + [j for j in range(users[-1] + 1, i + 1) if chat[j][0] == "assistant"]), users[-1]
+            units.setdefault(key, []).append(n)
+        left = sorted(units)
+        while sum(sum(units[u]) for u in left) > 15 and any(u != fixed for u in left):
+            left.remove(next(u for u in left if u != fixed))
+        fits[c] = (sum(len(units[u]) for u in left), sum(sum(units[u]) for u in left))
+    assert {(r.conversation_id, r.seq, r.role, r.merged) for r in context.merge_roles(table, block).collect()} == want
+    assert {r.conversation_id: (r.kept, r.tokens) for r in context.fit_budget(table, 15, block).collect()} == fits
+
+
+def test_changes_and_what_is_not_there(spark):
+    table = spark.createDataFrame([("a", "x", "p"), ("b", "y", None)], "id string, title string, repo string")
+    changes = spark.createDataFrame([("a", None), ("z", "q")], "id string, repo string")
+    assert {tuple(r) for r in store.set_fields(table, ["id"], changes).collect()} == {("a", "x", None), ("b", "y", None)}
+    assert [tuple(r) for r in store.not_found(table, ["id"], changes).collect()] == [("z", "not_found")]
+    a = spark.createDataFrame([(1, 5), (1, None), (2, None)], "k int, x int")
+    b = spark.createDataFrame([(1, 6), (2, None), (3, 1)], "k int, x int")
+    assert {(r.k, r.reusable) for r in store.reusable(a, b, "k", ["x"]).collect()} == {(1, False), (2, True), (3, False)}
+    requests = spark.createDataFrame([(1, None), (2, ["u"]), (3, [])], "k int, allowed array<string>")
+    some = spark.createDataFrame([(k, v) for k in (1, 2, 3) for v in ("u", "v")], "k int, id string")
+    assert {tuple(r) for r in store.allowed(some, requests, "k", "id").collect()} == {(1, "u"), (1, "v"), (2, "u")}
+    zipped = store.zip_positional(spark.createDataFrame([(1, 30), (1, 10)], "k int, n int"), spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "k int, h string"), "k", ["n"], ["h"])
+    assert {(r.n, r.h) for r in zipped.collect()} == {(10, "a"), (30, "b")}
+
+
+def test_attempts(spark):
+    from millrace.operators import attempts as A
+
+    schema = "id string, conversation_id string, message_id string, kind string, status string, exit_code int, created_at long, updated_at long"
+    table = spark.createDataFrame([("p1", "c", None, "propose_diff", "proposed", None, 1, 1), ("p2", "c", None, "propose_diff", "applied", None, 2, 2), ("r1", "c", None, "run_command", "failed", 1, 3, 3), ("r2", "c", None, "run_command", "passed", 0, 4, 4)], schema)
+    after, refused = A.decide(table, spark.createDataFrame([("p1", True, 9), ("p2", True, 9), ("zz", False, 9)], "id string, approve boolean, at long"))
+    assert {r.id: r.status for r in after.collect()}["p1"] == "approved" and {r.id for r in refused.collect()} == {"p2", "zz"} and A.pending(after).count() == 0
+    calls, verdict = spark.createDataFrame([("c", 2), ("c", 1)], "conversation_id string, n int"), spark.createDataFrame([("c", True), ("d", True)], "conversation_id string, held_out_pass boolean")
+    rows = {r.conversation_id: r for r in A.evaluation(table, calls, verdict).collect()}
+    assert tuple(rows["c"])[1:] == (1, 2, 3, False, True, True) and tuple(rows["d"])[1:] == (0, 0, 0, False, True, False)
+    first = A.evaluation(table.where("id <> 'r1'"), calls, verdict).where("conversation_id = 'c'").first()
+    assert first.first_attempt_pass and not first.repaired_pass
+    done, lost = A.finish(table, spark.createDataFrame([("p1", "cancelled", None, 8), ("q", "passed", 0, 8)], "id string, status string, exit_code int, updated_at long"))
+    assert {r.id: r.status for r in done.collect()}["p1"] == "cancelled" and [r.id for r in lost.collect()] == ["q"]
+    new = spark.createDataFrame([("n1", "c", None, "run_command", 5), ("n2", "gone", None, "run_command", 5)], "id string, conversation_id string, message_id string, kind string, created_at long")
+    more, none = A.insert(table, new, spark.createDataFrame([("c",)], "id string"))
+    assert more.where("status = 'proposed'").count() == 2 and [r.id for r in none.collect()] == ["n2"]
+
+
+def test_send(spark):
+    heads = spark.createDataFrame([("a", "New chat", 1), ("b", "New chat", 1), ("c", "Old", 1)], "id string, title string, updated_at long")
+    talk = spark.createDataFrame([("m", "b", 1, "user", "hi", 1)], "id string, conversation_id string, seq long, role string, content string, created_at long")
+    sends = spark.createDataFrame([("1", "a", "  How  are you? " + "x" * 60, 5, True), ("2", "b", "more", 6, True), ("3", "c", " ", 7, True), ("4", "c", "now", 8, False), ("5", "z", "who", 9, True)], "id string, conversation_id string, text string, created_at long, admitted boolean")
+    named, messages, errors = store.send(heads, talk, sends)
+    assert {r.id: (r.title, r.updated_at) for r in named.collect()} == {"a": ("How  are you? " + "x" * 34, 5), "b": ("New chat", 6), "c": ("Old", 1)}
+    assert {(r.id, r.seq) for r in messages.collect()} == {("m", 1), ("1", 1), ("2", 2)} and {(r.id, r.error) for r in errors.collect()} == {("3", "empty"), ("4", "busy"), ("5", "not_found")}
+
+
+def test_search_report(spark):
+    from millrace.operators import textual
+
+    files = spark.createDataFrame([("a/z.txt", "hit\nno\nhit"), ("a.txt", "hit"), ("b/bin", "hit\x00"), ("c.txt", "no"), ("d.txt", "hit hit"), (".env", "hit"), ("x/my-secret/f", "hit"), (None, "hit")], "path string, text string")
+    report = lambda n: tuple(textual.search_report(files, "hit", n).first())
+    assert report(9) == (4, False, 4, 1) and report(3) == (3, True, 4, 1) and report(2) == (2, True, 2, 0) and report(0) == (0, True, 1, 0)
+
+
+def test_refresh_reasons(spark):
+    g = spark.createDataFrame([("a", 1, 5, "f1", "r"), ("b", 1, 5, "f2", "old"), ("c", 2, 5, "f3", "r"), ("d", 1, 5, "f4", "r"), ("e", 1, 5, "f5", "r"), ("f", 1, None, "f6", "r")], "repo_id string, generation long, finished_at long, vector_file string, recipe string")
+    now = spark.createDataFrame([(r, "x", 1, 1) for r in "abcdef"], "repo_id string, path string, size long, mtime_ns long")
+    manifest = spark.createDataFrame([(r, 1, "x", 2 if r == "e" else 1, 1) for r in "abcdef"], "repo_id string, generation long, path string, size long, mtime_ns long")
+    files = spark.createDataFrame([(f"f{i}",) for i in (1, 2, 3, 5)], "vector_file string")
+    got = {r.repo_id: r.reason for r in index.refresh_reason(now, now, manifest, g, files, "r").collect()}
+    assert got == {"a": None, "b": "recipe", "c": "generation", "d": "missing_file", "e": "files", "f": "no_index"}
+
+
+def test_build_twice(spark):
+    """A second build encodes only what changed, numbers go on, and two finished generations stay."""
+    from millrace.operators import build
+
+    schema = "repo_id string, path string, size long, mtime_ns long, text string, skip_reason string"
+    files = [("r", f"f{i}.txt", 1, 1, "\n".join(f"line {j} of file {i}" for j in range(70)), None) for i in range(4)] + [("r", "key.pem", 1, 1, None, "secret"), ("s", "a.md", 1, 1, "# A\nb\nc\n", None), ("s", "void.txt", 0, 1, "", None)]
+    none = spark.createDataFrame([], "repo_id string, generation long, created_at long, finished_at long, vector_file string, chunk_count long, recipe string")
+    cache = spark.createDataFrame([], "recipe string, digest string, vector array<double>, bytes long, last_used long")
+    encoder, stages = build.HashedEncoder(16), []
+    one = build.build_index(spark.createDataFrame(files, schema), none, cache, encoder, 1000, stages.append)
+    first = {r.repo_id: r for r in one.reports.collect()}
+    assert stages[0] == "chunk" and (first["r"].files_seen, first["r"].files_indexed, first["r"].chunks, first["r"].embedded_new, first["r"].embedded_cached) == (5, 4, 8, 8, 0)
+    assert [(x.path, x.reason) for x in first["r"].files_skipped] == [("key.pem", "secret")] and sorted(r.id for r in one.chunks.collect()) == list(range(1, 10))
+    assert one.vectors.count() == 9 and one.manifest.where("repo_id = 'r'").count() == 4
+    files[0] = ("r", "f0.txt", 2, 2, files[0][4].replace("line 0 ", "LINE 0 "), None)
+    two = build.build_index(spark.createDataFrame(files, schema), one.generations, one.cache, encoder, 2000)
+    second = {r.repo_id: r for r in two.reports.collect()}
+    assert (second["r"].generation, second["r"].embedded_new, second["r"].embedded_cached) == (2, 1, 7) and second["s"].embedded_new == 0
+    three = build.build_index(spark.createDataFrame(files, schema), two.generations, two.cache, encoder, 3000)
+    assert {(r.repo_id, r.generation) for r in three.generations.collect()} == {("r", 2), ("r", 3), ("s", 2), ("s", 3)}
+    assert {r.last_used for r in three.cache.collect()} == {1000, 3000} and three.cache.count() == 10
+    assert {r.error for r in build.guard(three.generations, encoder.recipe).collect()} == {None} and {r.error for r in build.guard(three.generations, "other").collect()} == {"recipe"}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 100, "x") for i in range(100)], "k int, v string").repartition(7)
+    assert {r.k: r.n for r in index.number_rows(rows, ["k"], "n", 5).collect()} == {k: k + 5 for k in range(100)}
+    assert index.number_rows(rows.limit(0), ["k"], "n").count() == 0
+
