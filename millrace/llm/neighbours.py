@@ -7,8 +7,7 @@ Plan
    rows costs one search.
 2. A file beyond ``CELL_MAX`` vectors is cut into cells around vantage points
    fitted on a bounded sample of it (``FIT_ROWS``); cells that are still too
-   large are cut again, up to ``LEVELS`` times, which is only reached if vantage
-   points hardly divide a cell. Every vector is indexed. Each cell is a shard with a
+   large are cut again. Every vector is indexed. Each cell is a shard with a
    vantage-point tree of its own.
 3. Every vector searches its own shard. The distance of the last neighbour
    found there and the triangle inequality (distance to a cell's vantage point
@@ -44,7 +43,7 @@ RELAX = 2.0
 CELL, CELL_MAX = 512, 2048
 FANOUT = 1024
 FIT_ROWS = 16384
-LEVELS = 8
+LEVELS = 3
 ROUTE_ROWS = 32768
 VISIT_ROWS = 65536
 LEAF = 128
