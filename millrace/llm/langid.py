@@ -6,9 +6,10 @@ features are hashed character n-grams of a sentence of prose.
 
 The machines are fitted on a bounded sample of labelled rows (at most
 ``fit_rows`` documents a language, the ones with the lowest id hash, of at most
-``FIT_CHARS`` characters) together with a few built-in sentences; sentences that
-a first fit on the built-in sentences firmly contradicts are left out, so wrong
-labels do little harm. Every document is then judged over its whole text.
+``FIT_CHARS`` characters) together with a few built-in sentences. A sentence that
+several of those documents share has the label of most of them; of the others,
+what a first fit on the built-in sentences firmly contradicts is left out. So
+wrong labels do little harm. Every document is then judged over its whole text.
 
 Defined results
 - null, empty and blank texts, and texts without prose, have no language and give no rows;
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.llm.language import DIMS, FAMILIES, FAMILY_OF, LANGUAGES, SEEDS, fit_line, gram_hashes, language_of_label, numbered_sentences, prose_sentences
+from millrace.llm.language import DIMS, FAMILIES, FAMILY_OF, LANGUAGES, SEEDS, fit_line, folded, gram_hashes, language_of_label, numbered_sentences, prose_sentences
 
 FIT_ROWS = 120
 FIT_CHARS = 4000
@@ -126,24 +127,39 @@ def fit_machines(documents: DataFrame, text_col: str = "text", label_col: str =
     labelled = labelled.where(F.col("label").isNotNull() & (F.length("text") <= FIT_CHARS) & (F.length(F.trim("text")) > 0))
     near = Window.partitionBy("label").orderBy("spot")
     sample = labelled.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= fit_rows).select("text", "label").collect()
-    sentences, labels = list(first), list(names)
-    taken: set[str] = set()
+    # How often a sentence, by its letters alone, is met in texts of each label: of what many texts share, most are labelled right.
+    kept: list[tuple[str, list[str], list[str], np.ndarray]] = []
+    votes: dict[str, dict[str, int]] = {}
     for text, label in sorted(sample):
-        fresh = [s for s in prose_sentences(text) if s not in taken]
-        if not fresh:
+        mine = prose_sentences(text)
+        if not mine:
             continue
-        taken.update(fresh)
-        said, margin = seeds.judge(fresh)
-        agree = sum(x == label for x in said)
-        if agree * 2 < len(said):
+        said, margin = seeds.judge(mine)
+        if sum(x == label for x in said) * 2 < len(said):
             continue
-        keep = [s for s, x, m in zip(fresh, said, margin) if x == label or m < 0.1]
-        sentences += keep
-        labels += [label] * len(keep)
+        kept.append((label, mine, said, margin))
+        for key in {folded(s) for s in mine}:
+            seen = votes.setdefault(key, {})
+            seen[label] = seen.get(label, 0) + 1
+    sentences, labels, sure = list(first), list(names), [True] * len(first)
+    taken: set[str] = set()
+    for label, mine, said, margin in kept:
+        for s, x, m in zip(mine, said, margin):
+            key = folded(s)
+            if key in taken:
+                continue
+            seen = votes[key]
+            best = max(sorted(seen), key=seen.get)
+            often = seen[best] >= 3 and seen[best] * 3 >= 2 * sum(seen.values())
+            if often or x == label or m < 0.1:
+                taken.add(key)
+                sentences.append(s)
+                labels.append(best if often else label)
+                sure.append(often)
     model = Machines().fit(sentences, labels)
     # Second look: what the fitted machines contradict was in another language.
     said, _ = model.judge(sentences)
-    good = [i for i, (x, y) in enumerate(zip(said, labels)) if x == y]
+    good = [i for i, (x, y, certain) in enumerate(zip(said, labels, sure)) if x == y or certain]
     if len(good) == len(sentences):
         return model
     return Machines().fit([sentences[i] for i in good], [labels[i] for i in good])

@@ -101,6 +101,11 @@ def prose_sentences(text: str, least: int = 3) -> list[str]:
     return [sentence for _, sentence in numbered_sentences(text, least)]
 
 
+def folded(sentence: str) -> str:
+    """A sentence by its words alone, in lower case."""
+    return " ".join(re.findall(r"[^\W\d_]+'?", sentence.casefold()))
+
+
 ORDERS = (1, 2, 3, 4)
 BITS = 15
 DIMS = 1 << BITS
@@ -108,9 +113,9 @@ DIMS = 1 << BITS
 
 def gram_hashes(sentences: list[str], orders=ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of all sentences: ``(bucket, sentence)`` of each, grouped by order."""
-    folded = [" " + " ".join(re.findall(r"[^\W\d_]+'?", s.casefold())) + " " for s in sentences]
-    codes = np.frombuffer("".join(folded).encode("utf-32-le"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(folded), dtype=np.int32), [len(s) for s in folded])
+    texts = [f" {folded(s)} " for s in sentences]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(s) for s in texts])
     buckets, owners = [], []
     for n in orders:
         m = len(codes) - n + 1
