@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import numeric, records, retrieval, texts, upkeep
+from millrace.plans import formats, numeric, records, retrieval, texts, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (texts, retrieval, upkeep, records, numeric)
+MODULES = (texts, retrieval, upkeep, records, numeric, formats)
 
 
 def queries() -> dict[str, Query]:

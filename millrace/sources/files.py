@@ -261,8 +261,8 @@ def index_rows(raw: bytes, magic: bytes = MAGIC) -> tuple[np.ndarray, np.ndarray
     return ids, np.frombuffer(raw, "<f4", dim * count, start + (-start % ALIGN)).reshape(count, dim)
 
 
-def read_vector_indexes(spark: SparkSession, pattern: str, magic: bytes = MAGIC) -> DataFrame:
-    """``(path, id, vec, generation, error)`` of all index files; a malformed one gives one row with its error."""
+def parse_vector_indexes(files: DataFrame, magic: bytes = MAGIC) -> DataFrame:
+    """``(path, id, vec, generation, error)`` of index files ``(path, content)``; a malformed one gives one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -274,4 +274,30 @@ def read_vector_indexes(spark: SparkSession, pattern: str, magic: bytes = MAGIC)
                     ids, vectors = index_rows(raw, magic)
                     yield pd.DataFrame({"path": path, "id": ids.astype(np.int64), "vec": list(vectors), "generation": generation, "error": None})
 
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, id bigint, vec array<float>, generation bigint, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, id bigint, vec array<float>, generation bigint, error string")
+
+
+def read_vector_indexes(spark: SparkSession, pattern: str, magic: bytes = MAGIC) -> DataFrame:
+    """The same of all index files that ``pattern`` names."""
+    return parse_vector_indexes(spark.read.format("binaryFile").load(pattern), magic)
+
+
+FILE_ROWS = 65536
+
+
+def make_vector_indexes(rows: DataFrame, magic: bytes = MAGIC, most: int = FILE_ROWS) -> DataFrame:
+    """``(path, content)`` of index files with the vectors ``(path, generation, id, vec)``, in the order of ids.
+
+    A path with more than about ``most`` vectors becomes several files, so that
+    no task holds more: which of them a vector goes to is by its id.
+    """
+    sizes = rows.groupBy("path").agg(F.ceil(F.count("*") / most).alias("files"))
+    spread = rows.join(sizes, "path").withColumn("part", F.pmod(F.xxhash64("id"), F.col("files")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        path, part = frame["path"].iloc[0], frame["part"].iloc[0]
+        raw = index_bytes(frame["id"].to_numpy(np.uint64), np.stack(frame["vec"].to_numpy()).astype(np.float32), int(frame["generation"].iloc[0]), magic)
+        return pd.DataFrame({"path": [f"{path}.{part}" if frame["files"].iloc[0] > 1 else path], "content": [raw]})
+
+    return spread.groupBy("path", "part").applyInPandas(run, "path string, content binary")
