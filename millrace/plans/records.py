@@ -59,7 +59,7 @@ def evaluation(spark: SparkSession, root: str) -> DataFrame:
     """What was tried in every chat; the held-out test counts as passed where the last message is not from a tool."""
     rows = thread(spark, root)
     calls = rows.select("conversation_id", F.coalesce(F.json_array_length(F.get_json_object("meta", "$.tool_calls")), F.lit(0)).alias("n"))
-    verdicts = rows.groupBy("conversation_id").agg((F.max_by("role", "seq") != "tool").alias("held_out_pass"))
+    verdicts = rows.groupBy("conversation_id").agg((~F.max_by(F.col("role").eqNullSafe("tool"), "seq")).alias("held_out_pass"))
     return A.evaluation(_attempts(spark, root), calls, verdicts)
 
 
@@ -284,7 +284,7 @@ ORACLE = {
       UNION ALL SELECT '', 'not_found', count(*) FROM new WHERE NOT there HAVING count(*) > 0""",
     "evaluation": f"""WITH {THREAD_SQL}, {_ATTEMPT}, t AS (SELECT conversation_id, sum(CASE WHEN kind = 'propose_diff' AND status = 'applied' THEN 1 ELSE 0 END) AS patches, sum(CASE WHEN kind = 'run_command' THEN 1 ELSE 0 END) AS runs FROM att GROUP BY 1),
       f AS (SELECT conversation_id, status = 'passed' AS passed FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS k FROM att WHERE kind = 'run_command') WHERE k = 1),
-      c AS (SELECT conversation_id, sum(CASE WHEN json_valid(meta) THEN coalesce(json_array_length(json_extract(meta, '$.tool_calls')), 0) ELSE 0 END)::BIGINT AS calls, max_by(role, seq) <> 'tool' AS pass FROM thread GROUP BY 1),
+      c AS (SELECT conversation_id, sum(CASE WHEN json_valid(meta) THEN coalesce(json_array_length(json_extract(meta, '$.tool_calls')), 0) ELSE 0 END)::BIGINT AS calls, max_by(role IS DISTINCT FROM 'tool', seq) AS pass FROM thread GROUP BY 1),
       a AS (SELECT c.conversation_id, coalesce(patches, 0)::BIGINT AS patches_applied, coalesce(runs, 0)::BIGINT AS commands_run, calls AS tool_calls_total, coalesce(pass, false) AS pass, coalesce(pass, false) AND coalesce(patches, 0) = 1 AND coalesce(passed, false) AS first
         FROM c LEFT JOIN t USING (conversation_id) LEFT JOIN f USING (conversation_id))
       SELECT conversation_id, patches_applied, commands_run, tool_calls_total, first AS first_attempt_pass, pass AND NOT first AS repaired_pass, patches_applied >= 1 AND commands_run >= 1 AS plumbing_ok FROM a""",
