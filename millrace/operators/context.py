@@ -27,16 +27,15 @@ def _carried(rows: DataFrame, mark: Column, name: str, block: int = BLOCK) -> Da
     return both.withColumn(name, F.coalesce("__mine", "__older")).drop("__block", "__mark", "__mine", "__older")
 
 
-def _with_previous(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``rows`` with ``last_role`` and ``last_calls`` of the row before, across blocks."""
+def with_previous(rows: DataFrame, fields: list[str], block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``before``: a struct of ``fields`` of the row before in the conversation, null for the first, across blocks."""
     rows = rows.withColumn("__block", F.floor(F.col("seq") / block))
     order = Window.partitionBy("conversation_id", "__block").orderBy("seq")
-    ends = rows.groupBy("conversation_id", "__block").agg(F.max_by(F.struct("role", "calls"), "seq").alias("__end"))
+    ends = rows.groupBy("conversation_id", "__block").agg(F.max_by(F.struct(*fields), "seq").alias("__end"))
     before = Window.partitionBy("conversation_id").orderBy("__block")
     ends = ends.select("conversation_id", "__block", F.lag("__end").over(before).alias("__older"))
-    both = rows.withColumn("__near", F.lag(F.struct("role", "calls")).over(order)).join(ends, ["conversation_id", "__block"])
-    near = F.coalesce("__near", "__older")
-    return both.withColumn("last_role", near["role"]).withColumn("last_calls", F.coalesce(near["calls"], F.lit(False))).drop("__block", "__near", "__older")
+    both = rows.withColumn("__near", F.lag(F.struct(*fields)).over(order)).join(ends, ["conversation_id", "__block"])
+    return both.withColumn("before", F.coalesce("__near", "__older")).drop("__block", "__near", "__older")
 
 
 def after_last_marker(messages: DataFrame) -> DataFrame:
@@ -56,9 +55,9 @@ def merge_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     Tool rows and rows with tool calls stay by themselves. An island is named
     by the place of its first row.
     """
-    alone = (F.col("role") == "tool") | F.col("calls") | F.col("last_calls")
-    starts = F.col("last_role").isNull() | (F.col("last_role") != F.col("role")) | alone
-    rows = _carried(_with_previous(messages, block), F.when(starts, F.col("seq")), "island", block)
+    alone = (F.col("role") == "tool") | F.col("calls") | F.coalesce("before.calls", F.lit(False))
+    starts = F.col("before.role").isNull() | (F.col("before.role") != F.col("role")) | alone
+    rows = _carried(with_previous(messages, ["role", "calls"], block), F.when(starts, F.col("seq")), "island", block)
     merged = rows.groupBy("conversation_id", "island").agg(
         F.first("role").alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), JOIN).alias("content"),

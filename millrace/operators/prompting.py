@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.context import merge_roles
@@ -113,16 +114,34 @@ def stream_text(pieces: Iterable[bytes]) -> list[str]:
 def detokenize(pieces: DataFrame) -> DataFrame:
     """``(stream_id, seq, text)``: text completed by each ``(stream_id, seq, token)`` in order, the rest with the last one.
 
-    The fold of one stream is sequential; streams are independent groups.
+    Rows are sorted by stream and place and decoded as they pass; nothing of a
+    stream is held but its unfinished character and its last row. Streams are
+    spread over tasks by name.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable")
-        done = stream_text(token_bytes(t) for t in frame["token"])
-        done[-2:] = [done[-2] + done[-1]]
-        return pd.DataFrame({"stream_id": frame["stream_id"], "seq": frame["seq"], "text": done})
-
-    return pieces.select("stream_id", "seq", "token").groupBy("stream_id").applyInPandas(run, "stream_id string, seq bigint, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, held = None, None
+
+        def rows(made: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*made)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["stream_id", "seq", "text"])
+
+        for batch in batches:
+            out = []
+            for name, seq, token in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held is not None and held[0] == name:
+                    out.append(held)
+                else:
+                    if held is not None:
+                        out.append((*held[:2], held[2] + decoder.decode(b"", True)))
+                    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+                held = (name, seq, decoder.decode(token_bytes(token or "")))
+            yield rows(out)
+        if held is not None:
+            yield rows([(*held[:2], held[2] + decoder.decode(b"", True))])
+
+    ordered = pieces.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("seq").cast("bigint").alias("seq"), "token")
+    return ordered.repartition("stream_id").sortWithinPartitions("stream_id", "seq", "token").mapInArrow(run, "stream_id string, seq bigint, text string")
 
 
 def basic_words(text: str) -> list[str]:

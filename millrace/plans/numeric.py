@@ -164,9 +164,9 @@ def label_products(spark: SparkSession, root: str) -> DataFrame:
 
 
 def attention_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """Softmax attention over the sequence of each label's vectors, one head: the first two components of every place."""
+    """Softmax attention, one head, over sequences of a label's vectors, each from 640 neighbouring ids: the first two components of every place."""
     rows = read_table(spark, root, "embeddings")
-    sequences = rows.groupBy(F.col("label").alias("id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    sequences = rows.groupBy(F.col("label").alias("id"), F.floor(F.col("vec_id") / 640).alias("part")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
 
     def run(batches):
         for batch in batches:
@@ -180,7 +180,7 @@ def attention_outputs(spark: SparkSession, root: str) -> DataFrame:
                 second += made[:, 1].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(places, pa.int64()), pa.array(first, pa.float64()), pa.array(second, pa.float64())], ["id", "vec_id", "first", "second"])
 
-    made = sequences.mapInArrow(run, "id int, vec_id bigint, first double, second double")
+    made = sequences.drop("part").mapInArrow(run, "id int, vec_id bigint, first double, second double")
     return made.select("id", "vec_id", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
 
 
@@ -292,8 +292,8 @@ ORACLE = {
       SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM r a JOIN r b USING (vec_id) GROUP BY a.i, b.i""",
     "label_products": """WITH a AS (SELECT l_partkey AS k, l_linenumber AS i, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_partkey AS k, l_suppkey AS j, count(*) AS v FROM lineitem GROUP BY 1, 2)
       SELECT i, j, round(sum(a.v * b.v), 4) AS v FROM a JOIN b USING (k) GROUP BY 1, 2""",
-    "attention_outputs": """WITH e AS (SELECT label AS id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-      z AS (SELECT a.id, a.vec_id, b.v[1] AS v1, b.v[2] AS v2, list_dot_product(a.v, b.v) / 8.0 AS z FROM e a JOIN e b USING (id)),
+    "attention_outputs": """WITH e AS (SELECT label AS id, vec_id, vec_id // 640 AS part, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+      z AS (SELECT a.id, a.vec_id, b.v[1] AS v1, b.v[2] AS v2, list_dot_product(a.v, b.v) / 8.0 AS z FROM e a JOIN e b USING (id, part)),
       w AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id, vec_id)) AS w FROM z)
       SELECT id, vec_id, round(sum(w * v1) / sum(w), 6) AS first, round(sum(w * v2) / sum(w), 6) AS second FROM w GROUP BY 1, 2""",
     "mean_pooled": """WITH x AS (SELECT label, (i - 1)::INT AS axis, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays, text as T
-from millrace.operators import attempts as A, build, index, store
+from millrace.operators import attempts as A, build, context, index, store
 from millrace.plans.base import THREAD_SQL, thread
 from millrace.plans.texts import DOC_LINES
 from millrace.sources import read_table
@@ -184,17 +184,14 @@ def _words(text: Column) -> Column:
 def prefix_reuse(spark: SparkSession, root: str) -> DataFrame:
     """What of each user message the one before it in its chat has cached, by words, 16 of them read at a time."""
     rows = thread(spark, root).where(F.col("role") == "user").select("conversation_id", "seq", _words(F.col("content")).alias("ids"))
-    before = rows.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("turns"))
-    pairs = before.select("conversation_id", F.explode(F.sequence(F.lit(0), F.size("turns") - 1)).alias("i"), "turns")
-    none = F.array().cast("array<string>")
-    pairs = pairs.select("conversation_id", F.col("turns")[F.col("i")]["seq"].alias("seq"), F.when(F.col("i") > 0, F.get("turns", F.col("i") - 1)["ids"]).otherwise(none).alias("cached"), F.col("turns")[F.col("i")]["ids"].alias("prompt"))
-    return pairs.where(F.size("prompt") > 0).select("conversation_id", "seq", arrays.prefix_reuse(F.col("cached"), F.col("prompt"), 16).alias("x")).select("conversation_id", "seq", "x.*")
+    pairs = context.with_previous(rows, ["ids"]).withColumn("cached", F.coalesce("before.ids", F.array().cast("array<string>")))
+    return pairs.where(F.size("ids") > 0).select("conversation_id", "seq", arrays.prefix_reuse(F.col("cached"), F.col("ids"), 16).alias("x")).select("conversation_id", "seq", "x.*")
 
 
 def control_ids(spark: SparkSession, root: str) -> DataFrame:
-    """Control ids among the ids each user's events stand for."""
-    rows = read_table(spark, root, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id") % 3000).alias("ids"))
-    return rows.select("user_id", F.size("ids").alias("n"), arrays.control_count(F.col("ids")).alias("control"))
+    """Control ids among the ids that each vector's components stand for."""
+    rows = read_table(spark, root, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 6000)).alias("ids"))
+    return rows.select("vec_id", F.size("ids").alias("n"), arrays.control_count(F.col("ids")).alias("control"))
 
 
 def migrated_conversations(spark: SparkSession, root: str) -> DataFrame:
@@ -323,7 +320,7 @@ ORACLE = {
       s AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(ids), len(cached)) + 1), lambda i: ids[i] <> cached[i])) - 1, least(len(ids), len(cached))) AS same FROM p WHERE len(ids) > 0),
       r AS (SELECT conversation_id, seq, len(ids) AS n, CASE WHEN same = len(ids) THEN same - 1 ELSE same END AS reused FROM s)
       SELECT conversation_id, seq, reused, n - reused AS fed, ceil((n - reused) / 16.0)::INT AS chunks FROM r""",
-    "control_ids": "SELECT user_id, count(*) AS n, sum(CASE WHEN event_id % 3000 < 1000 THEN 1 ELSE 0 END)::INT AS control FROM events GROUP BY 1",
+    "control_ids": "SELECT vec_id, len(embedding) AS n, len(list_filter(embedding, lambda x: floor(abs(x::DOUBLE) * 6000) < 1000)) AS control FROM embeddings",
     "migrated_conversations": "SELECT id, repo_path, lower(mode) AS mode, left(title, 20) AS shown FROM (SELECT DISTINCT id, title, repo_path, mode FROM conversations)",
     "begun_generations": f"""WITH n AS (SELECT repo_id, coalesce(max(generation), 0) + 1 AS generation FROM index_generations GROUP BY 1)
       SELECT repo_id, generation, CASE WHEN repo_id < 'm' THEN {NOW} END AS finished_at, CASE WHEN repo_id < 'm' THEN 7 END AS chunk_count, NULL::VARCHAR AS error FROM n UNION ALL SELECT 'nobody', 1, NULL, NULL, 'not_found'""",
