@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import arrays, text as T
-from millrace.operators import attempts as A, build, context, index, store
-from millrace.plans.base import THREAD_SQL, thread
-from millrace.plans.texts import DOC_LINES
+from millrace.operators import attempts as A, build, context, index, store, tools
+from millrace.plans.base import THREAD_SQL, byte_cut_sql, thread
+from millrace.plans.texts import DOC_LINES, LINES_SQL
 from millrace.sources import read_table
 from millrace.sources.schemas import migrate
 
@@ -262,6 +262,16 @@ def index_build(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def tool_results(spark: SparkSession, root: str) -> DataFrame:
+    """All tool calls of all chats, made over one workspace of the files of all repositories."""
+    rows = thread(spark, root).where("calls")
+    calls = F.from_json(F.get_json_object("meta", "$.tool_calls"), "array<struct<name:string,arguments:string>>")
+    made = rows.select("id", F.posexplode(calls).alias("k", "c")).select(F.concat_ws("#", "id", F.col("k").cast("string")).alias("call_id"), "c.name", "c.arguments")
+    files = read_table(spark, root, "source_files").where(F.col("path").isNotNull()).groupBy("path").agg(F.min_by(F.coalesce("text", F.lit("")), "file_id").alias("text"))
+    done = tools.dispatch(made, files)
+    return done.select("call_id", "name", "error", F.size(F.coalesce("items", F.array().cast("array<string>"))).alias("n"), F.md5(F.array_join("items", "\n")).alias("digest"), "truncated")
+
+
 _ATTEMPT = f"""att AS (SELECT id, conversation_id, CASE WHEN seq % 2 = 0 THEN 'propose_diff' ELSE 'run_command' END AS kind, [{', '.join(repr(x) for x in A.STATES)}][seq * 7 % {len(A.STATES)} + 1] AS status, seq, created_at FROM thread WHERE role = 'tool')"""
 _PLAIN = """l AS (SELECT repo_id, doc, i, strlen(ls[i]) AS z, ls[i] AS line FROM (SELECT repo_id, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
   n AS (SELECT repo_id, doc, count(*) AS n, list_prepend(0, list(c ORDER BY i)) AS cs FROM (SELECT repo_id, doc, i, sum(z) OVER (PARTITION BY doc ORDER BY i)::BIGINT AS c FROM l) GROUP BY ALL),
@@ -271,6 +281,24 @@ _PLAIN = """l AS (SELECT repo_id, doc, i, strlen(ls[i]) AS z, ls[i] AS line FROM
   made AS (SELECT repo_id, doc, a FROM (SELECT w.repo_id, w.doc, a, line FROM w JOIN l ON l.doc = w.doc AND l.i BETWEEN a + 1 AND b WHERE b > 0) GROUP BY ALL HAVING bool_or(regexp_matches(line, '[^\\s\\p{Z}]')))"""
 
 ORACLE = {
+    "tool_results": f"""WITH {THREAD_SQL}, k AS (SELECT id, from_json(json_extract(meta, '$.tool_calls'), '[{{"name":"VARCHAR","arguments":"VARCHAR"}}]') AS cs FROM thread WHERE calls),
+      a AS (SELECT id || '#' || (i - 1) AS call_id, cs[i].name AS name, cs[i].arguments AS args FROM (SELECT id, cs, unnest(range(1, len(cs) + 1)) AS i FROM k)),
+      f AS (SELECT path, min_by(coalesce(text, ''), file_id) AS text FROM source_files WHERE path IS NOT NULL GROUP BY 1),
+      v AS (SELECT path, string_split(path, '/') AS p, {LINES_SQL.format(t='text')} AS ls FROM f WHERE len(list_filter(string_split(lower(path), '/'), lambda p: p IN ('.git', 'target', 'node_modules') OR starts_with(p, '.env') OR starts_with(p, 'id_rsa')
+        OR ends_with(p, '.pem') OR ends_with(p, '.key') OR ends_with(p, '.sqlite') OR contains(p, 'credentials') OR contains(p, 'secret'))) = 0),
+      e AS (SELECT DISTINCT array_to_string(p[1:d - 1], '/') AS place, p[d] || CASE WHEN d < len(p) THEN '/' ELSE '' END AS entry FROM (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM v)),
+      g AS (SELECT place, list(entry ORDER BY entry) AS every FROM e GROUP BY 1),
+      r AS (SELECT *, CASE WHEN json_valid(args) THEN json_extract_string(args, '$.path') END AS path, CASE WHEN json_valid(args) THEN json_extract_string(args, '$.query') END AS query FROM a),
+      pl AS (SELECT *, coalesce(path, CASE WHEN name = 'list_files' THEN '.' END) AS given FROM r),
+      q AS (SELECT *, CASE WHEN name IN ('list_files', 'read_file') THEN CASE WHEN given IS NULL THEN 'bad_arguments' WHEN contains(given, chr(0)) THEN 'nul_byte' WHEN starts_with(given, '/') THEN 'absolute' WHEN list_contains(string_split(given, '/'), '..') THEN 'outside' END
+        WHEN name = 'search' THEN CASE WHEN coalesce(query, '') = '' THEN 'bad_arguments' END ELSE 'unknown_tool' END AS wrong, array_to_string(list_filter(string_split(given, '/'), lambda x: x NOT IN ('.', '')), '/') AS place FROM pl),
+      h AS (SELECT query, path || ':' || i || ':' || {byte_cut_sql('line', 400)} AS item, row_number() OVER (PARTITION BY query ORDER BY p, i) AS k FROM (SELECT query, v.path, p, i, ls[i] AS line FROM (SELECT DISTINCT query FROM q WHERE name = 'search' AND wrong IS NULL), (SELECT path, p, ls, unnest(range(1, len(ls) + 1)) AS i FROM v) v WHERE contains(ls[i], query))),
+      s AS (SELECT query, list(item ORDER BY k) FILTER (k <= 100) AS items, count(*) > 100 AS more FROM h GROUP BY 1),
+      o AS (SELECT call_id, name, coalesce(wrong, CASE WHEN g.every IS NULL THEN 'not_found' END) AS error, g.every[1:200] AS items, coalesce(len(g.every) > 200, false) AS truncated FROM q LEFT JOIN g USING (place) WHERE name = 'list_files'
+        UNION ALL SELECT call_id, name, coalesce(wrong, CASE WHEN v.path IS NULL THEN 'not_found' END), v.ls[1:201], coalesce(len(v.ls) > 201, false) FROM q LEFT JOIN v ON v.path = q.place WHERE name = 'read_file'
+        UNION ALL SELECT call_id, name, wrong, CASE WHEN wrong IS NULL THEN coalesce(s.items, []) END, coalesce(s.more, false) FROM q LEFT JOIN s ON s.query = q.query WHERE name = 'search'
+        UNION ALL SELECT call_id, name, wrong, NULL, false FROM q WHERE wrong = 'unknown_tool')
+      SELECT call_id, name, error, coalesce(len(items), 0)::INT AS n, CASE WHEN error IS NULL THEN md5(array_to_string(items, chr(10))) END AS digest, truncated FROM o""",
     "pending_attempts": f"WITH {THREAD_SQL}, {_ATTEMPT} SELECT id, conversation_id, kind FROM att WHERE status = 'proposed'",
     "decided_attempts": f"""WITH {THREAD_SQL}, {_ATTEMPT} SELECT id, CASE WHEN status <> 'proposed' THEN status WHEN seq % 2 = 0 THEN 'approved' ELSE 'denied' END AS status,
       CASE WHEN status = 'proposed' THEN {NOW} ELSE created_at END AS updated_at, CASE WHEN status <> 'proposed' THEN 'not_proposed' END AS error FROM att""",
@@ -346,5 +374,5 @@ ORACLE = {
 
 QUERIES = (
     pending_attempts, decided_attempts, finished_attempts, inserted_attempts, evaluation, run_statuses, renamed_conversations, touched_conversations, sent_messages, deleted_repos, digest_finds, citation_zip,
-    reply_metas, reusable_generations, recipe_guard, recipes, allowed_candidates, mode_budgets, prefix_reuse, control_ids, migrated_conversations, begun_generations, numbered_files, cache_touches, refresh_reasons, index_build,
+    reply_metas, reusable_generations, recipe_guard, recipes, allowed_candidates, mode_budgets, prefix_reuse, control_ids, migrated_conversations, begun_generations, numbered_files, cache_touches, refresh_reasons, index_build, tool_results,
 )

@@ -51,3 +51,30 @@ def test_blocks(spark):
     assert P.display_blocks(text) == want
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string")
     assert P.blocks(rows, "k", "t").count() == len(want)
+
+
+def test_tools(spark):
+    from millrace.operators import tools
+
+    files = spark.createDataFrame([("a/b.txt", "one\ntwo x\n"), ("a/c/d.py", "x = 1\r\ny = x\n"), ("top.md", "x\n" * 150), (".env", "x"), ("void", None), ("wide", "abab\n" + "y" * 600 + "q")], "path string, text string")
+    asked = {
+        "1": ("list_files", "{}"), "2": ("list_files", '{"path": "./a/"}'), "3": ("list_files", '{"path": "a/b.txt"}'), "4": ("read_file", '{"path": "a/b.txt"}'), "5": ("read_file", '{"path": "top.md", "start_line": 3, "end_line": 4}'),
+        "6": ("read_file", '{"path": "../x"}'), "7": ("read_file", "{"), "8": ("read_file", '{"path": ".env"}'), "9": ("search", '{"query": "x"}'), "10": ("search", '{"query": ""}'), "11": ("search", '{"query": "= x"}'), "12": ("rm", "{}"), "13": ("search", '{"query": "ab"}'),
+        "14": ("search", '{"query": "zzz"}'), "15": (None, None), "16": ("read_file", '{"path": "void"}'), "17": ("search", '{"query": "yq"}'),
+    }
+    got = {r.call_id: (r.error, r["items"], r.truncated) for r in tools.dispatch(spark.createDataFrame([(k, *v) for k, v in asked.items()], "call_id string, name string, arguments string"), files).collect()}
+    assert got["1"] == (None, ["a/", "top.md", "void", "wide"], False) and got["2"] == (None, ["b.txt", "c/"], False) and got["3"][0] == got["8"][0] == "not_found"
+    assert got["4"] == (None, ["one", "two x"], False) and got["5"] == (None, ["x", "x"], True) and got["6"][0] == "outside" and got["7"][0] == got["10"][0] == "bad_arguments"
+    assert got["9"][2] and len(got["9"][1]) == 100 and got["9"][1][:4] == ["a/b.txt:2:two x", "a/c/d.py:1:x = 1", "a/c/d.py:2:y = x", "top.md:1:x"]
+    assert got["11"] == (None, ["a/c/d.py:2:y = x"], False) and got["12"][0] == got["15"][0] == "unknown_tool" and got["13"] == (None, ["wide:1:abab"], False) and got["14"] == (None, [], False)
+    assert got["16"] == (None, [], False) and got["17"] == (None, ["wide:2:" + "y" * 400], False) and set(got) == set(asked)
+
+
+def test_detokenize_streams_apart(spark):
+    alphabet = {b: c for c, b in P.byte_alphabet().items()}
+    spell = lambda raw: "".join(alphabet[b] for b in raw)
+    euro = "€".encode()
+    rows = [("a", 1, spell(b"x" + euro[:1])), ("a", 2, spell(euro[1:])), ("a", 3, spell(euro[:2])), ("b", 1, spell(euro[2:])), ("b", 2, spell(b"y")), ("c", 5, None)]
+    got = {(r.stream_id, r.seq): r.text for r in P.detokenize(spark.createDataFrame(rows, "stream_id string, seq long, token string")).collect()}
+    assert got == {("a", 1): "x", ("a", 2): "€", ("a", 3): "\ufffd", ("b", 1): "\ufffd", ("b", 2): "y", ("c", 5): ""}
+
