@@ -33,14 +33,23 @@ def delete_conversations(conversations: DataFrame, messages: DataFrame, attempts
     )
 
 
+HOUR_MS = 3_600_000
+
+
 def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
     """``messages`` with ``new`` rows put after the last ``seq`` of their conversation, in ``(created_at, id)`` order.
 
-    A row with an unknown role fails the whole append.
+    A row with an unknown role fails the whole append. Rows are counted by the
+    hour (``created_at`` in milliseconds), the hours of a conversation are
+    summed up, and only rows of one hour are sorted together.
     """
     last = messages.groupBy("conversation_id").agg(F.max("seq").alias("last"))
-    order = Window.partitionBy("conversation_id").orderBy("created_at", "id")
-    rows = new.join(last, "conversation_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(order))
+    rows = new.withColumn("__hour", F.coalesce(F.floor(F.col("created_at") / HOUR_MS), F.lit(-1)))
+    hours = rows.groupBy("conversation_id", "__hour").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conversation_id").orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.join(last, "conversation_id", "left").select("conversation_id", "__hour", (F.coalesce("last", F.lit(0)) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("__base"))
+    order = Window.partitionBy("conversation_id", "__hour").orderBy("created_at", "id")
+    rows = rows.withColumn("__place", F.row_number().over(order)).join(hours, ["conversation_id", "__hour"]).withColumn("seq", F.col("__base") + F.col("__place"))
     checked = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce("role", F.lit("null")))).cast("string"))
     return messages.unionByName(rows.withColumn("role", checked).select(*messages.columns))
 

@@ -220,6 +220,18 @@ def diff_round_trip(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def edited_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file's first line replaced where it occurs once, by a diff that is made, applied and told by its result."""
+    files = read_table(spark, root, "source_files").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    files = files.select(F.concat_ws("/", F.col("file_id").cast("string"), "path").alias("path"), "text").distinct()
+    edits = files.select(F.col("path").alias("edit_id"), "path", F.substring_index("text", "\n", 1).alias("find"), F.lit("# first line").alias("put"))
+    made = diffs.replacements(edits, files)
+    patches = made.where(F.col("error").isNull()).select(F.col("edit_id").alias("patch_id"), "diff")
+    pins = files.select(F.col("path").alias("patch_id"), "path", F.sha2("text", 256).alias("sha256"))
+    done = diffs.apply_patches(patches, files, pins).select(F.col("patch_id").alias("edit_id"), F.md5("new_text").alias("digest"), F.col("error").alias("failed"))
+    return made.select("edit_id", "error").join(done, "edit_id", "left").select("edit_id", F.coalesce("error", "failed").alias("error"), "digest")
+
+
 def ranked_prices(spark: SparkSession, root: str) -> DataFrame:
     """Best three orders of each customer: the partitioned top-k of the engine on a star schema."""
     best = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
@@ -306,10 +318,13 @@ ORACLE = {
     "diff_round_trip": """WITH f AS (SELECT DISTINCT concat_ws('/', file_id::VARCHAR, path) AS path, text FROM source_files WHERE text IS NOT NULL)
       SELECT path AS patch_id, CASE WHEN text = '' THEN 1 ELSE 2 END AS added, CASE WHEN text = '' THEN 0 ELSE 1 END AS removed, NULL::VARCHAR AS error,
         CASE WHEN text <> '' AND NOT contains(text, chr(10)) THEN 11 ELSE 10 END AS grown, true AS restored FROM f""",
+    "edited_files": """WITH f AS (SELECT DISTINCT concat_ws('/', file_id::VARCHAR, path) AS path, text, string_split(text, chr(10))[1] AS find FROM source_files WHERE text IS NOT NULL AND text <> ''),
+      n AS (SELECT *, CASE WHEN find = '' THEN 0 ELSE (length(text) - length(replace(text, find, ''))) // length(find) END AS times FROM f)
+      SELECT path AS edit_id, CASE WHEN times <> 1 THEN 'ambiguous' END AS error, CASE WHEN times = 1 THEN md5(replace(text, find, '# first line')) END AS digest FROM n""",
     "ranked_prices": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
 }
 
 QUERIES = (
     logit_topk, logit_errors, argmax_ties, softmax_topp, softmax_errors, repetition_penalty, repetition_window, categorical_draw, sampled_tokens, q4_dequant, q4_stats, q4_layouts, bf16_check, bf16_values,
-    frequencies, weight_bytes, rotary, attention_scales, layer_norms, matrix_product, label_products, attention_outputs, mean_pooled, contrastive_loss, diff_round_trip, ranked_prices,
+    frequencies, weight_bytes, rotary, attention_scales, layer_norms, matrix_product, label_products, attention_outputs, mean_pooled, contrastive_loss, diff_round_trip, edited_files, ranked_prices,
 )

@@ -108,6 +108,16 @@ def test_append(spark):
         store.append_messages(rows, messages(spark, ["bot"]).drop("seq")).collect()
 
 
+def test_append_over_hours(spark):
+    schema = "id string, conversation_id string, role string, content string, created_at long"
+    times = [5, 5, None, 3_600_000, 7_200_000, 4, 90_000_000, 3_599_999]
+    new = spark.createDataFrame([(f"n{i}", "c", "user", "x", t) for i, t in enumerate(times)] + [("m", "d", "user", "x", 1)], schema)
+    old = spark.createDataFrame([("o", "c", 7, "user", "x", 0)], "id string, conversation_id string, seq long, role string, content string, created_at long")
+    got = {r.id: r.seq for r in store.append_messages(old, new).collect()}
+    order = sorted(range(len(times)), key=lambda i: (-1 if times[i] is None else times[i], f"n{i}"))
+    assert got == {"o": 7, "m": 1} | {f"n{i}": 8 + k for k, i in enumerate(order)}
+
+
 def test_merge_and_slice(spark):
     rows = messages(spark, ["user", "user", "assistant", "assistant", "tool", "tool", "assistant"], calls={4})
     merged = context.merge_roles(rows).orderBy("seq").collect()
