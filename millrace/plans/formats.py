@@ -82,6 +82,24 @@ def prompts(spark: SparkSession, root: str) -> DataFrame:
     return made.select("conversation_id", F.size("segments").alias("n"), F.md5(F.array_join(plain, "\x1f")).alias("digest"))
 
 
+def parsed_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """Each vector's components as generated ids: what of them is text, and which tools they call."""
+    ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    rows = read_table(spark, root, "embeddings").select("vec_id", ids.alias("ids"))
+    made = prompting.parse_outputs(rows, "vec_id", lambda ids: " ".join(str(i) for i in ids))
+    spelled = F.array_join(F.transform("calls", lambda c: F.concat(c["name"], F.lit(">"), c["arguments"])), "|")
+    return made.select("vec_id", "text", F.size("calls").alias("n_calls"), spelled.alias("calls"))
+
+
+def spelled_titles(spark: SparkSession, root: str) -> DataFrame:
+    """Titles as one token a byte, read back: a character comes with its last byte."""
+    letters = [F.lit(x) for char, byte in prompting.byte_alphabet().items() for x in (f"{byte:02X}", char)]
+    raw = F.hex(F.encode("title", "UTF-8"))
+    rows = read_table(spark, root, "conversations").groupBy("id").agg(F.max("title").alias("title")).where(F.length("title") > 0)
+    rows = rows.select(F.col("id").alias("stream_id"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.substr(raw, i, F.lit(2)))).alias("at", "byte"))
+    return prompting.detokenize(rows.select("stream_id", (F.col("at") + 1).cast("bigint").alias("seq"), F.element_at(F.create_map(*letters), F.col("byte")).alias("token")))
+
+
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 ORACLE = {
@@ -104,6 +122,16 @@ ORACLE = {
       k AS (SELECT doc_id, CASE WHEN fence THEN CASE WHEN fences % 2 = 1 THEN 'code' END WHEN fences % 2 = 1 THEN NULL WHEN b = '' THEN CASE WHEN first < i THEN 'gap' END WHEN regexp_matches(b, '^#{1,3} ') THEN 'heading'
         WHEN starts_with(b, '- ') OR starts_with(b, '* ') THEN 'bullet' ELSE 'text' END AS kind FROM c)
       SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""",
+    "parsed_outputs": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 100)::INT) AS ids FROM embeddings),
+      r AS (SELECT vec_id, ids, 0 AS i, 't' AS sink, '' AS text, '' AS spelled FROM v
+        UNION ALL SELECT vec_id, ids, i + 1, CASE WHEN ids[i + 1] = 9 THEN 'n' WHEN ids[i + 1] = 2 THEN 't' WHEN ids[i + 1] = 32 AND sink = 'n' THEN 'a' ELSE sink END,
+          CASE WHEN ids[i + 1] NOT IN (2, 9) AND sink = 't' THEN text || ' ' || ids[i + 1] ELSE text END,
+          CASE WHEN ids[i + 1] = 9 THEN spelled || '|' WHEN ids[i + 1] = 2 OR sink = 't' THEN spelled WHEN ids[i + 1] = 32 AND sink = 'n' THEN spelled || '>' ELSE spelled || ' ' || ids[i + 1] END FROM r WHERE i < len(ids)),
+      e AS (SELECT vec_id, trim(text) AS text, string_split(spelled, '|')[2:] AS cs FROM r WHERE i = len(ids))
+      SELECT vec_id, text, len(cs)::INT AS n_calls, array_to_string(list_transform(cs, lambda c: trim(string_split(c, '>')[1]) || '>' || coalesce(trim(string_split(c, '>')[2]), '')), '|') AS calls FROM e""",
+    "spelled_titles": """WITH t AS (SELECT id, max(title) AS title FROM conversations GROUP BY 1), c AS (SELECT id, title, i, substr(title, i, 1) AS ch FROM (SELECT id, title, unnest(range(1, length(title) + 1)) AS i FROM t)),
+      e AS (SELECT id, ch, sum(strlen(ch)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS seq FROM c), s AS (SELECT id, unnest(range(1, strlen(title) + 1)) AS seq FROM t)
+      SELECT s.id AS stream_id, s.seq, coalesce(ch, '') AS text FROM s LEFT JOIN e ON e.id = s.id AND e.seq = s.seq""",
     "prompts": f"""WITH {THREAD_SQL},
       s AS (SELECT *, CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w <> role OR role = 'tool' OR calls OR coalesce(lag(calls) OVER w, false) THEN 1 ELSE 0 END AS starts FROM thread WINDOW w AS (PARTITION BY conversation_id ORDER BY seq)),
       i AS (SELECT *, sum(starts) OVER (PARTITION BY conversation_id ORDER BY seq) AS island FROM s),
@@ -116,4 +144,4 @@ ORACLE = {
       SELECT conversation_id, len(segments)::INT AS n, md5(array_to_string(segments, chr(31))) AS digest FROM w""",
 }
 
-QUERIES = (stored_vectors, unit_vectors, tensor_headers, flushed_deltas, shown_blocks, prompts)
+QUERIES = (stored_vectors, unit_vectors, tensor_headers, flushed_deltas, shown_blocks, parsed_outputs, spelled_titles, prompts)
