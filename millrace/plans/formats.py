@@ -100,6 +100,18 @@ def spelled_titles(spark: SparkSession, root: str) -> DataFrame:
     return prompting.detokenize(rows.select("stream_id", (F.col("at") + 1).cast("bigint").alias("seq"), F.element_at(F.create_map(*letters), F.col("byte")).alias("token")))
 
 
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+WHOLE = ("the", "what", "does")
+PIECES = {x: i for i, x in enumerate(["[CLS]", "[SEP]", "[UNK]", *SIGNS, *(f"##{c}" for c in SIGNS), *WHOLE])}
+
+
+def title_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Titles as word pieces of a vocabulary of letters and three words, at most 40 ids each."""
+    rows = read_table(spark, root, "conversations").groupBy("id").agg(F.max("title").alias("title"))
+    made = prompting.encode_word_pieces(rows, "id", "title", PIECES, 40)
+    return made.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 ORACLE = {
@@ -132,6 +144,11 @@ ORACLE = {
     "spelled_titles": """WITH t AS (SELECT id, max(title) AS title FROM conversations GROUP BY 1), c AS (SELECT id, title, i, substr(title, i, 1) AS ch FROM (SELECT id, title, unnest(range(1, length(title) + 1)) AS i FROM t)),
       e AS (SELECT id, ch, sum(strlen(ch)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS seq FROM c), s AS (SELECT id, unnest(range(1, strlen(title) + 1)) AS seq FROM t)
       SELECT s.id AS stream_id, s.seq, coalesce(ch, '') AS text FROM s LEFT JOIN e ON e.id = s.id AND e.seq = s.seq""",
+    "title_pieces": rf"""WITH t AS (SELECT id, regexp_extract_all(lower(coalesce(max(title), '')), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]') AS words FROM conversations GROUP BY 1),
+      w AS (SELECT id, list_transform(words, lambda w: CASE WHEN NOT regexp_full_match(w, '[a-z0-9]+') OR length(w) > 100 THEN [2]
+        ELSE list_transform(range(1, length(w) + 1), lambda i: CASE WHEN starts_with(w, 'the') AND i <= 3 THEN CASE WHEN i = 1 THEN {PIECES['the']} END WHEN starts_with(w, 'what') AND i <= 4 THEN CASE WHEN i = 1 THEN {PIECES['what']} END
+          WHEN starts_with(w, 'does') AND i <= 4 THEN CASE WHEN i = 1 THEN {PIECES['does']} END ELSE instr('{SIGNS}', w[i]) + CASE WHEN i = 1 THEN 2 ELSE {2 + len(SIGNS)} END END) END) AS ps FROM t)
+      SELECT id, array_to_string(list_concat([0], list_concat(list_filter(flatten(ps), lambda x: x IS NOT NULL)[1:38], [1])), ' ') AS ids FROM w""",
     "prompts": f"""WITH {THREAD_SQL},
       s AS (SELECT *, CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w <> role OR role = 'tool' OR calls OR coalesce(lag(calls) OVER w, false) THEN 1 ELSE 0 END AS starts FROM thread WINDOW w AS (PARTITION BY conversation_id ORDER BY seq)),
       i AS (SELECT *, sum(starts) OVER (PARTITION BY conversation_id ORDER BY seq) AS island FROM s),
@@ -144,4 +161,4 @@ ORACLE = {
       SELECT conversation_id, len(segments)::INT AS n, md5(array_to_string(segments, chr(31))) AS digest FROM w""",
 }
 
-QUERIES = (stored_vectors, unit_vectors, tensor_headers, flushed_deltas, shown_blocks, parsed_outputs, spelled_titles, prompts)
+QUERIES = (stored_vectors, unit_vectors, tensor_headers, flushed_deltas, shown_blocks, parsed_outputs, spelled_titles, title_pieces, prompts)
