@@ -111,30 +111,19 @@ def layer_norm(vector: Column, eps: float = 1e-12) -> Column:
     return _let(_let(total(vector) / F.size(vector), lambda m: F.transform(vector, lambda x: x - m)), scaled)
 
 
-def multiply(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
-    """Product of matrices in long form ``(i, k, v)`` and ``(k, j, v)``: ``(i, j, v)``.
+def multiply(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
+    """Product of matrices in long form ``(i, k, v)`` and ``(k, j, v)``: ``(i, j, v)`` of the pairs that share an index.
 
-    The shared index is cut into ``parts``; each is a dense product of its own,
-    of the rows and columns that occur in it, and only the sums meet. So what is
-    shuffled is the entries once and one partial product a part, not every pair
-    of entries.
+    Only entries that meet are multiplied, and their products are summed on the
+    map side, so no task holds rows times columns, however many there are. An
+    index with very many entries is split by AQE; ``parts`` fixes the number of
+    pieces that the shared index is cut into.
     """
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows, row_at = np.unique(a["i"].to_numpy(), return_inverse=True)
-        cols, col_at = np.unique(b["j"].to_numpy(), return_inverse=True)
-        shared, at = np.unique(np.concatenate([a["k"].to_numpy(), b["k"].to_numpy()]), return_inverse=True)
-        x, y = np.zeros((len(rows), len(shared))), np.zeros((len(shared), len(cols)))
-        np.add.at(x, (row_at, at[: len(a)]), a["v"].to_numpy())
-        np.add.at(y, (at[len(a) :], col_at), b["v"].to_numpy())
-        made = x @ y
-        return pa.table({"i": np.repeat(rows, len(cols)), "j": np.tile(cols, len(rows)), "v": made.ravel()})
-
-    by = F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")
-    a = left.select(by, F.col("i").cast("bigint").alias("i"), F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("v"))
-    b = right.select(by, F.col("k").cast("bigint").alias("k"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
-    made = a.groupBy("part").cogroup(b.groupBy("part")).applyInArrow(run, "i bigint, j bigint, v double")
-    return made.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    a = left.select(F.col("i").cast("bigint").alias("i"), F.col("k").cast("bigint").alias("k"), F.col("v").cast("double").alias("x"))
+    b = right.select(F.col("k").cast("bigint").alias("k"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("y"))
+    if parts:
+        a, b = a.repartition(parts, "k"), b.repartition(parts, "k")
+    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
 def gram(rows: DataFrame, vec: str) -> DataFrame:

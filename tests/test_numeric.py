@@ -197,6 +197,14 @@ def test_products(spark):
     assert np.allclose([r.v for r in tensors.gram(rows, "v").orderBy("i", "j").collect()], (b.T @ b).ravel())
 
 
+def test_sparse_product_has_only_pairs_that_meet(spark):
+    n = 3000
+    left = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(2.0).alias("v"))
+    right = spark.range(n).select(F.col("id").alias("k"), (F.col("id") + 1).alias("j"), F.lit(3.0).alias("v"))
+    got = tensors.multiply(left, right).collect()
+    assert sorted((r.i, r.j, r.v) for r in got) == [(i, i + 1, 6.0) for i in range(1, n)]
+
+
 def test_encoder_block_against_loops(spark):
     rng = np.random.default_rng(8)
     width, heads, inner, n = 8, 2, 6, 5
