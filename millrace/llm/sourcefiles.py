@@ -249,39 +249,46 @@ def _prints(id_type: pa.DataType):
     return run
 
 
-def outside_prints(outside: DataFrame, holders: int = HOLDERS) -> tuple[DataFrame, DataFrame]:
-    """``(lib, prints)`` of the outside files, and the inverted index ``(lib, print, of_lib, kept)`` with at most ``holders`` files a print.
-
-    The same ones are kept for every print: the files of the lowest names. So
-    many versions of one file are stood for by some of them, all of whose
-    prints stay, and a print that is in very many files joins with few.
+def outside_prints(outside: DataFrame, holders: int = HOLDERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The inverted index of the outside files in three frames: ``classes``, ``index`` and ``members``.
+
+    ``index`` is ``(lib, print, of_lib)`` with at most ``holders`` files a print,
+    the same ones for every print. All further files of a print are in the
+    other two: prints that the same further files hold are of one class,
+    ``(print, class)``, and ``(class, lib, of_lib)`` are its files. So many
+    versions of one file are a few classes, and nothing is left out. Files with
+    the same prints are one, and each text of a name is a file of its own.
     """
-    lib = F.concat_ws("/", F.col("lib_id").cast("string"), "file_name")
-    files = outside.where(F.col("text").isNotNull()).select(lib.alias("lib"), "text").distinct()
-    files = files.mapInArrow(_prints(pa.string()), "lib string, prints array<bigint>").where(F.size("prints") > 0)
-    files = cut_lineage(files.groupBy("lib").agg(F.max("prints").alias("prints")))
+    files = outside.where(F.col("text").isNotNull()).select(F.lit(0).alias("lib"), "text").distinct()
+    files = files.mapInArrow(_prints(pa.int32()), "lib int, prints array<bigint>").where(F.size("prints") > 0)
+    files = cut_lineage(files.select(F.md5(F.concat_ws(",", F.col("prints").cast("array<string>"))).alias("lib"), "prints").dropDuplicates(["lib"]))
     spread = files.select("lib", F.size("prints").alias("of_lib"), F.explode("prints").alias("print"))
     first = Window.partitionBy("print").orderBy("lib")
-    some = spread.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= holders).drop("rank")
-    return files, some.join(some.groupBy("lib").agg(F.count("*").alias("kept")), "lib")
+    ranked = cut_lineage(spread.withColumn("rank", F.row_number().over(first)))
+    rest = ranked.where(F.col("rank") > holders).drop("rank")
+    # A set of files is told by its size and two sums of hashes without carry, so no row holds it.
+    alike = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lib")).alias("a"), F.bit_xor(F.xxhash64("lib", F.lit(1))).alias("b"))
+    classes = rest.groupBy("print").agg(alike.alias("class"))
+    members = rest.join(classes.groupBy("class").agg(F.min("print").alias("print")), "print").select("class", "lib", "of_lib")
+    return classes, ranked.where(F.col("rank") <= holders).drop("rank"), members
 
 
 def shares_of_outside(described: DataFrame, outside: DataFrame, holders: int = HOLDERS) -> DataFrame:
     """``(row, of_outside, of_file, common)``: the greatest shares of an outside file that a file holds, and of the file in one.
 
-    A file meets at most ``holders`` rows of the index a fingerprint. Whether
-    the index is broadcast is Catalyst's choice by size, a hot fingerprint of
-    the files is split by AQE, and counts are combined on the map side. Where
-    an outside file isn't whole in the index and half of what is there is
-    found, the two are compared by all their fingerprints.
+    All pairs that share a fingerprint count, with all that they share. A file
+    meets at most ``holders`` rows of the index a fingerprint; what is in more
+    outside files is first counted by class and meets their files once a class.
+    Whether the index is broadcast is Catalyst's choice by size, a hot
+    fingerprint of the files is split by AQE, and counts are combined on the
+    map side.
     """
-    files, index = outside_prints(outside, holders)
+    classes, index, members = outside_prints(outside, holders)
     held = described.select("row", F.size("prints").alias("in_file"), F.explode("prints").alias("print"))
-    shared = held.join(index, "print").groupBy("row", "lib").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("of_lib", "kept", "in_file")))
-    open_ = (F.col("kept") < F.col("of_lib")) & (2 * F.col("n") >= F.col("kept"))
-    wide = shared.where(open_).join(files.withColumnRenamed("prints", "theirs"), "lib").join(described.select("row", "prints"), "row")
-    wide = wide.select("row", F.size(F.array_intersect("prints", "theirs")).cast("bigint").alias("n"), "of_lib", "in_file")
-    every = shared.where(~open_).select("row", "n", "of_lib", "in_file").unionByName(wide)
+    near = held.join(index, "print").groupBy("row", "lib").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("of_lib", "in_file")))
+    far = held.join(classes, "print").groupBy("row", "class").agg(F.count("*").alias("n"), F.max("in_file").alias("in_file"))
+    far = far.join(members, "class").select("row", "lib", "n", "of_lib", "in_file")
+    every = near.unionByName(far).groupBy("row", "lib").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("of_lib", "in_file")))
     return every.groupBy("row").agg(
         F.max(F.col("n") / F.col("of_lib")).alias("of_outside"), F.max(F.col("n") / F.col("in_file")).alias("of_file"), F.max(F.log1p(F.col("n").cast("double"))).alias("common")
     )

@@ -268,6 +268,28 @@ def test_outside_prints_are_bounded(spark):
     assert most == 4 and shares[1].of_outside > 0.9 and shares[1].of_file > 0.9 and not shares[2].of_outside
 
 
+@pytest.mark.parametrize("holders", [1, 3, 16])
+def test_shares_count_all_outside_files(spark, holders):
+    """Against plain sets; the small files lie only in what very many files share, and one name has two texts."""
+    import math
+
+    block = lambda k: [f"int value_{k}_{i} = call_{k}({i}, alpha);" for i in range(12)]
+    made = [(k, "a.c", "\n".join(sum((block(b) for b in range(8) if b <= 1 or (k >> (b - 2)) & 1), []))) for k in range(40)]
+    made += [(90, "small.c", "\n".join(block(0))), (90, "small.c", "\n".join(block(1)[:6])), (91, "z.c", "\n".join(block(1)))]
+    mine = [(i, f"m{i}.c", "\n".join(sum((block(b) for b in blocks), [f"int mine_{i}_{j} = {j};" for j in range(9)]))) for i, blocks in enumerate([[0], [1], [0, 1, 3], [2, 5], [], [0, 1, 2, 3, 4, 5, 6]])]
+    described = sourcefiles.describe_files(spark.createDataFrame(mine, "file_id long, path string, text string"))
+    shares = sourcefiles.shares_of_outside(described, spark.createDataFrame(made, "lib_id int, file_name string, text string"), holders)
+    got = {r.id: (r.of_outside, r.of_file, r.common) for r in described.join(shares, "row").collect()}
+    prints = lambda text: set(sourcefiles.fingerprints(sourcefiles._TOKEN.findall(text)))
+    want = {}
+    for i, _, text in mine:
+        own = prints(text)
+        n = [(len(own & their), len(their)) for their in (prints(t) for _, _, t in made) if own & their]
+        if n:
+            want[i] = (max(a / b for a, b in n), max(a for a, _ in n) / len(own), math.log1p(max(a for a, _ in n)))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_encoded_bytes_are_data():
     blob = "\n".join("QmFzZTY0+/" * 7 for _ in range(20))
     assert sourcefiles.blob_share(f'icon = """{blob}"""\n') > 0.9 and sourcefiles.blob_share("def a_long_name_of_a_function_that_is_written_by_hand_for_once(): pass") < 0.9
