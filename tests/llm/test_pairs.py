@@ -1,5 +1,6 @@
 """Defects of replies: each rule, the pairing, and both models."""
 
+import numpy as np
 import pytest
 
 from millrace.llm import pairs as P
@@ -89,3 +90,38 @@ def test_asked_language_in_a_long_sentence():
     assert P.asked_language(f"Please read {filler}and then answer in French so that the team can follow.") == "fr"
     assert P.asked_language(f"Answer in German, {filler}please.") == "de" and P.asked_language("Answer in French.") == "fr"
     assert P.asked_language(f"Please read {filler}and answer.") is None
+
+
+def test_long_messages_are_learnt_from_too(spark):
+    """How items of this list end is only said in a message of over 4,000 characters."""
+    item = "The queue holds the session"
+    long = "\n".join(f"- {x}" for x in [item, *(f"Line number of the list {'x' * (i % 40)} is here" for i in range(120))])
+    rows = [("a", 1, "user", ASK), ("a", 2, "assistant", long + "."), ("b", 1, "user", ASK), ("b", 2, "assistant", f"We saw it. {item}")]
+    assert len(long) > 4000
+    found = {r.message_id: r.defect for r in P.judge_pairs(frame(spark, rows)).collect()}
+    assert found == {"m1": None, "m3": None}
+
+
+def test_spread_fits_are_the_plain_ones(spark):
+    texts = [[s, *prose_sentences(SEEDS[c])[:2]] for c in ("en", "de", "fr", "it") for s in ("No, it is privato.", "Das ist xyz.", *prose_sentences(SEEDS[c])[2:6])]
+    rows = [("c", i, "assistant" if i % 2 else "user", "\n".join(x)) for i, x in enumerate(texts * 3)] + [(None, None, "user", "Null and void it is."), ("c", 3, "user", "-")]
+    messages = frame(spark, rows).repartition(3)
+    read = P.read_messages(messages)
+    runs = {}
+    for r in read.collect():
+        runs.setdefault(r.spot, []).append(r.said)
+    assert len(runs) > 3 and np.allclose(P.fit_languages_of(read).log, P.fit_languages(list(runs.values())).log)
+    replies = read.select("said")
+    split = lambda t: prose_sentences(t, 1)
+    extra = spark.createDataFrame([(["I really cannot help you with that.", "I am sorry."],), (["Thank you.", "I must refuse that wish."],), (["I am sorry, but I cannot help you with this."],), ([],)], "said array<string>")
+    plain, spread = (refusals.fit_talk_of(replies.union(extra), split, 3, here).weights for here in (100, 0))
+    assert np.abs(plain).max() > 0.1 and np.allclose(plain, spread, atol=1e-5)
+
+
+def test_chances_of_ends_are_those_of_the_model(spark):
+    replies = ["- The store keeps 5 rows in memory\n- The disk is full\n- Yes\n- We saw it", "The disk is full. The disk is full again! A.\n- B\n- ok it", "We saw the cache drop it. Nobody knows when the disk is full or not.", "🙂 The cache. 日本語です。 Ja"]
+    ends = P.EndModel().fit(replies)
+    runs = [(run, closed) for x in replies * 2 for run, closed in P.EndModel.runs(x)]
+    parts = ["The disk is full", "We saw the cache drop", "is full again", "A", "B", "ok", "We saw it", "🙂 The cache", "Nobody knows when the disk is full or", "never met", "A disk is full", "Yes", "in memory", "日本語です", "Nobody knows", "The store keeps 7 rows in memory"]
+    got = {r.part: r.chance for r in P.end_chances(spark.createDataFrame([(x,) for x in parts], "part string"), spark.createDataFrame(runs, "run string, closed boolean")).collect()}
+    assert got == {x: ends.likelihood(x) for x in parts} and {0.0, 1.0, None} <= set(got.values()) and any(x and 0 < x < 1 for x in got.values())
