@@ -109,9 +109,10 @@ def test_spread_fits_are_the_plain_ones(spark):
     read = P.read_messages(messages)
     runs = {}
     for r in read.collect():
-        runs.setdefault(r.spot, []).append(r.said)
+        for spot, said in zip(r.spots, P._unpacked(r.said)):
+            runs.setdefault(spot, []).append(said)
     assert len(runs) > 3 and np.allclose(P.fit_languages_of(read).log, P.fit_languages(list(runs.values())).log)
-    replies = read.select("said")
+    replies = spark.createDataFrame([(x,) for run in runs.values() for x in run], "said array<string>")
     split = lambda t: prose_sentences(t, 1)
     extra = spark.createDataFrame([(["I really cannot help you with that.", "I am sorry."],), (["Thank you.", "I must refuse that wish."],), (["I am sorry, but I cannot help you with this."],), ([],)], "said array<string>")
     plain, spread = (refusals.fit_talk_of(replies.union(extra), split, 3, here).weights for here in (100, 0))
